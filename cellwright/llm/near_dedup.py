@@ -13,11 +13,25 @@ has at most one error.  That error is enumerated: a key per symbol position
 stands for its chunk with that symbol left out (64 keys a class).  Classes that
 share a key are candidates.
 
-Candidates of a bucket are first compared with the bucket's least document
-only.  Links are confirmed on the full shingle sets, and linked classes are
-contracted.  Only pairs of a bucket that are still in different components are
-compared afterwards, so a group of n near copies costs about n comparisons, not
-n squared, and no link between components is lost.
+Candidates are not all pairs of a bucket.  Its pivot, the class that shares most
+buckets with others, is compared with each of the others on the full shingle
+sets, and linked classes are contracted to components.  What is left are pairs
+x, y of the same pivot p in different components.  Let D be what a class lacks of
+p's set and A what it has beyond it.  Then
+
+    |x and y| = |p| - |Dx| - |Dy| + |Dx and Dy| + |Ax and Ay|,
+
+so a link needs x and y to share at least w(x) + w(y) elements of their
+differences, w growing with |D| and |A| (see ``_weight``).  At least one of the two
+has no link to p, so that number is positive, and a prefix filter applies: each
+class keeps the rarest of its differences that must hold a shared one, and only
+classes that share such a one are compared.  Differences nobody shares are the
+rarest, so copies with edits of their own meet nobody.  No link between
+components is lost, and a group of n near copies costs about n comparisons.
+
+Before larger joins, rows that cannot match are left out by a bitmap of hashed
+keys.  It has a bounded size; where it fills up it lets more rows pass and the
+exact join decides.
 
 Empty texts (null, or without words) link with nothing.  Rows with a null
 document id take part, yet never give a component its name: ``component_id`` is
@@ -32,10 +46,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import Scratch, arrow_map, partitions, table, utf8
+from ._base import Scratch, arrow_map, table, utf8
 
 PERMS, MAX_ERRORS = 64, 23
 _MASK = (1 << 64) - 1
@@ -172,16 +186,79 @@ def _distance(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series((a != b).sum(1).astype("int32"))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, tag: str, width: int, percent: int, max_errors: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    near = _with_both(pairs, nodes.withColumnRenamed("rep", "id"), ["n", "sig"])
-    near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    near = near.where(F.pandas_udf(_distance, "int")("sig_a", "sig_b") <= max_errors).select("a", "b", "n_a", "n_b")
-    near = scratch.table(near, f"near{tag}")
-    ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    sets = scratch.table(_sets(docs.join(ids, "id", "left_semi").select("id", "text").dropDuplicates(["id"]), width), f"sets{tag}")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return _with_both(near, sets, ["set"]).where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+class Bitmap:
+    """Which evenly spread 64-bit values may occur: a bit each, of at most 2 ** most_bits."""
+
+    def __init__(self, values: DataFrame, most_bits: int = 28):
+        """values: one long column."""
+        value = F.col(values.columns[0])
+        self.bits = min(most_bits, max(16, (16 * values.count()).bit_length()))
+        place = F.shiftrightunsigned(value, 64 - self.bits)
+        words = values.select(place.alias("place")).selectExpr("shiftright(place, 6) AS word", "shiftleft(1L, cast(place & 63 AS int)) AS bit")
+        rows = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+        bitmap = np.zeros(1 << (self.bits - 6), np.int64)
+        bitmap[rows["word"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64)
+        self.words = values.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def may_have(self, values: np.ndarray) -> np.ndarray:
+        place = values.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.words.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def keeps(self, value: Column) -> Column:
+        def run(values: pd.Series) -> pd.Series:
+            return pd.Series(self.may_have(values.to_numpy(np.int64)))
+
+        return F.pandas_udf(run, "boolean")(value)
+
+
+def _load(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """The shingle sets of the ids' texts: id, set."""
+    hashed = F.xxhash64(F.col("id"))
+    some = docs.where("id is not null").where(Bitmap(ids.select(hashed)).keeps(hashed))
+    return _sets(some.join(ids, "id", "left_semi").dropDuplicates(["id"]), width)
+
+
+def _pairs_of(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+
+
+def _weight(percent: int) -> Column:
+    """w of a class: two need w(x) + w(y) shared differences for a link.
+
+    A link needs (100 + percent) * |x and y| >= percent * (n_x + n_y); with the
+    identity in the module's text, and all times (100 + percent), a class adds
+    100 * |D| + percent * |A| - (100 - percent) / 2 * |p| to the need.
+    """
+    missing, more = F.col("n_b") - F.col("both"), F.col("n_a") - F.col("both")
+    return (100 * missing + percent * more - (100 - percent) / 2 * F.col("n_b")).cast("double")
+
+
+def _left_over(tested: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that may be linked though their components differ.
+
+    tested: all classes a compared with a pivot b, with n_a, n_b, both and linked.
+    """
+    named = tested.join(labels.select(F.col("id").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a")).withColumn("w", _weight(percent))
+    named = scratch.table(named, "named")
+    groups = named.groupBy("b").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("w").alias("least"), F.min(F.when(~F.col("linked"), F.col("w"))).alias("least_apart"))
+    groups = groups.where("x <> y and least_apart is not null").select("b", "least", "least_apart")
+    # The least number of shared differences that a link of this class needs.
+    need = F.ceil((F.col("w") + F.when(F.col("linked"), F.col("least_apart")).otherwise(F.col("least"))) / (100 + percent) - 1e-9)
+    live = named.join(groups, "b").withColumn("need", F.greatest(F.lit(1), need)).withColumn("size", F.col("n_a") + F.col("n_b") - 2 * F.col("both"))
+    live = scratch.table(live.where("size >= need").select("a", "b", "label", "linked", "size", "need", "w"), "live")
+    both = _with_both(live, sets, ["set"])
+    items = F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a"))
+    items = scratch.table(both.select("a", "b", F.explode(items).alias("item")), "differences")
+    shared = items.groupBy("b", "item").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = items.join(shared, ["b", "item"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("items"))
+    # Of all differences, rarest first, size - need + 1 hold a shared one; those nobody shares come first.
+    take = F.col("size") - F.col("need") + 1 - (F.col("size") - F.size("items"))
+    ranked = ranked.join(live, ["a", "b"]).withColumn("take", take.cast("int")).where("take > 0")
+    ranked = ranked.select("a", "b", "label", "linked", "w", F.explode(F.slice("items", F.lit(1), F.col("take"))["item"]).alias("item"))
+    ranked = scratch.table(ranked, "prefixes")
+    x, y = (ranked.select("b", "item", *[F.col(c).alias(f"{c}_{k}") for c in ("a", "label", "linked", "w")]) for k in "xy")
+    pairs = x.join(y, ["b", "item"]).where("a_x > a_y and label_x <> label_y and not (linked_x and linked_y)")
+    return pairs.select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).distinct()
 
 
 def _contract(edges: DataFrame, labels: DataFrame | None, scratch: Scratch, tag: str) -> DataFrame:
@@ -231,26 +308,38 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not batch.num_rows:
             return None
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, perms)
-        return pa.RecordBatch.from_arrays([pa.array(bucket_keys(sig, max_errors).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), perms))], ["key", "rep"])
+        keys, reps = bucket_keys(sig, max_errors).ravel(), np.repeat(batch.column(0).to_numpy(), perms)
+        if bitmap is not None:
+            some = bitmap.may_have(keys)
+            keys, reps = keys[some], reps[some]
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(reps)], ["key", "rep"])
 
+    bitmap = None
+    keys = arrow_map(nodes.select("rep", "sig"), keyed, "key long, rep long")
+    shared = scratch.table(keys.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key"), "shared")
+    bitmap = Bitmap(shared)
     keys = arrow_map(nodes.select("rep", "sig"), keyed, "key long, rep long")
-    shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     buckets = scratch.table(keys.join(shared, "key"), "buckets")
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
+    weight = buckets.join(sizes, "key").groupBy("rep").agg(F.sum("n").alias("n"))
+    buckets = scratch.table(buckets.join(weight, "rep"), "weighed")
+    pivots = buckets.groupBy("key").agg(F.max_by("rep", F.struct("n", -F.col("rep"))).alias("pivot"))
+    pairs = buckets.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = scratch.table(pairs, "pairs")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    pairs = buckets.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    edges = _confirmed(pairs, nodes, texts, scratch, "1", width, percent, max_errors)
-    labels = _contract(edges, None, scratch, "1")
-
-    # What shares a bucket and is still apart, each pair of classes once.
-    at = buckets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "pivot", F.coalesce("label", "rep").alias("label"))
-    split = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    at = scratch.table(at.join(split, "key", "left_semi"), "apart")
-    a, b = (at.select("key", F.col("rep").alias(x), "pivot", F.col("label").alias(f"label_{x}")) for x in ("a", "b"))
-    rest = a.join(b.drop("pivot"), "key").where("a > b and label_a <> label_b and b <> pivot").select("a", "b").distinct()
-    edges = _confirmed(rest, nodes, texts, scratch, "2", width, percent, max_errors)
-    edges = edges.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
-    edges = edges.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    labels = _contract_on(edges, labels, scratch)
+    sets = scratch.table(_load(texts, _pairs_of(pairs), width), "sets")
+    links = (100 + percent) * F.col("both") >= percent * (F.col("n_a") + F.col("n_b"))
+    tested = _with_both(pairs, sets, ["set"]).select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+    tested = scratch.table(tested.withColumn("linked", links), "tested")
+    labels = _contract(tested.where("linked").select("a", "b"), None, scratch, "1")
+
+    rest = _left_over(tested, labels, sets, scratch, percent)
+    near = _with_both(rest, nodes.select(F.col("rep").alias("id"), "n", "sig"), ["n", "sig"])
+    near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(F.pandas_udf(_distance, "int")("sig_a", "sig_b") <= max_errors)
+    edges = _with_both(near.select("a", "b", "n_a", "n_b"), sets, ["set"]).withColumn("both", F.size(F.array_intersect("set_a", "set_b"))).where(links)
+    at = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"to_{x}"))
+    edges = edges.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    labels = _contract_on(edges.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")), labels, scratch)
 
     named = nodes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
     got = prints.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
