@@ -237,27 +237,38 @@ def _left_over(tested: DataFrame, labels: DataFrame, sets: DataFrame, scratch: S
     """Pairs (a, b) of classes that may be linked though their components differ.
 
     tested: all classes a compared with a pivot b, with n_a, n_b, both and linked.
+    A pair can share no more differences than either class shares with anyone, so
+    a class needs a partner whose slack (what it shares, less its own w) covers w.
     """
+    unit = 100 + percent
     named = tested.join(labels.select(F.col("id").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a")).withColumn("w", _weight(percent))
     named = scratch.table(named, "named")
     groups = named.groupBy("b").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("w").alias("least"), F.min(F.when(~F.col("linked"), F.col("w"))).alias("least_apart"))
     groups = groups.where("x <> y and least_apart is not null").select("b", "least", "least_apart")
-    # The least number of shared differences that a link of this class needs.
-    need = F.ceil((F.col("w") + F.when(F.col("linked"), F.col("least_apart")).otherwise(F.col("least"))) / (100 + percent) - 1e-9)
-    live = named.join(groups, "b").withColumn("need", F.greatest(F.lit(1), need)).withColumn("size", F.col("n_a") + F.col("n_b") - 2 * F.col("both"))
-    live = scratch.table(live.where("size >= need").select("a", "b", "label", "linked", "size", "need", "w"), "live")
+    lower = F.col("w") + F.when(F.col("linked"), F.col("least_apart")).otherwise(F.col("least"))
+    live = named.join(groups, "b").where(lower <= unit * (F.col("n_a") + F.col("n_b") - 2 * F.col("both"))).select("a", "b", "label", "linked", "n_b", "w")
+    live = scratch.table(live, "live")
     both = _with_both(live, sets, ["set"])
     items = F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a"))
     items = scratch.table(both.select("a", "b", F.explode(items).alias("item")), "differences")
     shared = items.groupBy("b", "item").agg(F.count("*").alias("n")).where("n > 1")
     ranked = items.join(shared, ["b", "item"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("items"))
-    # Of all differences, rarest first, size - need + 1 hold a shared one; those nobody shares come first.
-    take = F.col("size") - F.col("need") + 1 - (F.col("size") - F.size("items"))
-    ranked = ranked.join(live, ["a", "b"]).withColumn("take", take.cast("int")).where("take > 0")
-    ranked = ranked.select("a", "b", "label", "linked", "w", F.explode(F.slice("items", F.lit(1), F.col("take"))["item"]).alias("item"))
+    ranked = scratch.table(ranked.withColumn("some", F.size("items")).join(live, ["a", "b"]), "ranked")
+    # The least w of partners by slack, in steps of a 64th of the pivot's need, rounded so that none is missed.
+    step = unit * F.col("n_b") / 64.0
+    slack = F.floor((unit * F.col("some") - F.col("w")) / step)
+    steps = ranked.groupBy("b", slack.alias("slack")).agg(F.min("w").alias("any"), F.min(F.when(~F.col("linked"), F.col("w"))).alias("apart"))
+    steps = steps.groupBy("b").agg(F.collect_list(F.struct("slack", "any", "apart")).alias("steps"))
+    covers = F.filter("steps", lambda x: x["slack"] >= F.floor(F.col("w") / step))
+    partner = F.when(F.col("linked"), F.array_min(F.transform(covers, lambda x: x["apart"]))).otherwise(F.array_min(F.transform(covers, lambda x: x["any"])))
+    ranked = ranked.join(steps, "b").withColumn("partner", partner).where("partner is not null")
+    # Of the differences shared with anyone, rarest first, this many hold one that a linked pair shares.
+    take = F.col("some") - F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("partner")) / unit - 1e-9)) + 1
+    ranked = ranked.withColumn("take", take.cast("int")).where("take > 0")
+    ranked = ranked.select("a", "b", "label", "linked", "w", "some", F.explode(F.slice("items", F.lit(1), F.col("take"))["item"]).alias("item"))
     ranked = scratch.table(ranked, "prefixes")
-    x, y = (ranked.select("b", "item", *[F.col(c).alias(f"{c}_{k}") for c in ("a", "label", "linked", "w")]) for k in "xy")
-    pairs = x.join(y, ["b", "item"]).where("a_x > a_y and label_x <> label_y and not (linked_x and linked_y)")
+    x, y = (ranked.select("b", "item", *[F.col(c).alias(f"{c}_{k}") for c in ("a", "label", "linked", "w", "some")]) for k in "xy")
+    pairs = x.join(y, ["b", "item"]).where("a_x > a_y and label_x <> label_y and not (linked_x and linked_y)").where(F.col("w_x") + F.col("w_y") <= unit * F.least("some_x", "some_y"))
     return pairs.select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).distinct()
 
 
