@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .near_dedup import op1_minhash_near_dedup
+from .sharding import op10_hash_tree_sharding
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op10_hash_tree_sharding": op10_hash_tree_sharding,
 }
 
 SQL: dict[str, str] = {}
