@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
+from .html_text import op2_main_text
 from .near_dedup import op1_minhash_near_dedup
 from .sharding import op10_hash_tree_sharding
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_main_text": op2_main_text,
     "op3_decontaminate": op3_decontaminate,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
 }
