@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
+from .digests import op4_quartile_digests
 from .html_text import op2_main_text
 from .near_dedup import op1_minhash_near_dedup
 from .sharding import op10_hash_tree_sharding
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_main_text": op2_main_text,
     "op3_decontaminate": op3_decontaminate,
+    "op4_quartile_digests": op4_quartile_digests,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
 }
 
