@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op3_decontaminate
 from .digests import op4_quartile_digests
 from .html_text import op2_main_text
+from .mixing import op7_mixing
 from .near_dedup import op1_minhash_near_dedup
 from .sharding import op10_hash_tree_sharding
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_main_text": op2_main_text,
     "op3_decontaminate": op3_decontaminate,
     "op4_quartile_digests": op4_quartile_digests,
+    "op7_mixing": op7_mixing,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
 }
 
