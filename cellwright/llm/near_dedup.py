@@ -42,6 +42,8 @@ otherwise taken to be unique.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -121,6 +123,13 @@ def signatures(sets: list[np.ndarray], perms: int) -> np.ndarray:
     return out
 
 
+def errors_for(percent: int, perms: int = PERMS, miss: float = 1e-5) -> int:
+    """The least odd distance that a pair of this similarity exceeds with at most this probability."""
+    p = (1 - percent / 100) * (1 - 2.0**-16)
+    tail = lambda t: sum(math.comb(perms, k) * p**k * (1 - p) ** (perms - k) for k in range(t + 1, perms + 1))
+    return next(t for t in range(1, perms + 2, 2) if tail(t) <= miss)
+
+
 def _chunks(perms: int, max_errors: int) -> np.ndarray:
     """The chunk of each symbol position: enough chunks that one has at most one error."""
     return np.arange(perms) * ((max_errors + 2) // 2) // perms
@@ -301,15 +310,16 @@ def _contract(edges: DataFrame, labels: DataFrame | None, scratch: Scratch, tag:
         k += 1
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, perms: int = PERMS, max_errors: int = MAX_ERRORS) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, perms: int = PERMS, max_errors: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
     width: words of a shingle.  percent: least similarity of a link.  perms,
     max_errors: symbols of a signature and the distance up to which all pairs
-    are found; they are meant for percent >= 80 (at 80, ``max_errors`` = 30
-    misses a pair with a probability below 1e-7).
+    are found (by default ``errors_for`` percent: a link is missed with a
+    probability of at most 1e-5).
     """
     spark = docs.sparkSession
+    max_errors = errors_for(percent, perms) if max_errors is None else max_errors
     scratch = Scratch(spark, "near-dedup")
     prints = scratch.table(fingerprints(docs, id_col, text_col, width, perms), "prints")
     nodes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("digest", F.col("n_shingles").alias("n"), "sig").agg(F.min("doc_id").alias("rep"))

@@ -68,3 +68,7 @@ def test_keys_find_all_pairs_within_the_distance():
     for row in b:
         row[rng.choice(nd.PERMS, nd.MAX_ERRORS, replace=False)] ^= 1
     assert all((x == y).any() for x, y in zip(nd.bucket_keys(a, nd.MAX_ERRORS), nd.bucket_keys(b, nd.MAX_ERRORS), strict=True))
+
+
+def test_distance_for_a_similarity():
+    assert nd.errors_for(85) == nd.MAX_ERRORS and nd.errors_for(80) > nd.MAX_ERRORS and nd.errors_for(100) == 1
