@@ -8,12 +8,14 @@ from .html_text import op2_main_text
 from .mixing import op7_mixing
 from .near_dedup import op1_minhash_near_dedup
 from .sharding import op10_hash_tree_sharding
+from .warc import op5_warc_chunks
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_main_text": op2_main_text,
     "op3_decontaminate": op3_decontaminate,
     "op4_quartile_digests": op4_quartile_digests,
+    "op5_warc_chunks": op5_warc_chunks,
     "op7_mixing": op7_mixing,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
 }
