@@ -7,6 +7,7 @@ from .digests import op4_quartile_digests
 from .html_text import op2_main_text
 from .mixing import op7_mixing
 from .near_dedup import op1_minhash_near_dedup
+from .pii import op8_bootstrapped_pii
 from .sharding import op10_hash_tree_sharding
 from .warc import op5_warc_chunks
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_quartile_digests": op4_quartile_digests,
     "op5_warc_chunks": op5_warc_chunks,
     "op7_mixing": op7_mixing,
+    "op8_bootstrapped_pii": op8_bootstrapped_pii,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
 }
 
