@@ -8,6 +8,7 @@ from .html_text import op2_main_text
 from .mixing import op7_mixing
 from .near_dedup import op1_minhash_near_dedup
 from .pii import op8_bootstrapped_pii
+from .secrets import op9_secret_scan
 from .sharding import op10_hash_tree_sharding
 from .warc import op5_warc_chunks
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_warc_chunks": op5_warc_chunks,
     "op7_mixing": op7_mixing,
     "op8_bootstrapped_pii": op8_bootstrapped_pii,
+    "op9_secret_scan": op9_secret_scan,
     "op10_hash_tree_sharding": op10_hash_tree_sharding,
 }
 
