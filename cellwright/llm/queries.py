@@ -8,6 +8,7 @@ from .html_text import op2_main_text
 from .mixing import op7_mixing
 from .near_dedup import op1_minhash_near_dedup
 from .pii import op8_bootstrapped_pii
+from .quality import op6_hierarchical_quality
 from .secrets import op9_secret_scan
 from .sharding import op10_hash_tree_sharding
 from .warc import op5_warc_chunks
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_quartile_digests": op4_quartile_digests,
     "op5_warc_chunks": op5_warc_chunks,
+    "op6_hierarchical_quality": op6_hierarchical_quality,
     "op7_mixing": op7_mixing,
     "op8_bootstrapped_pii": op8_bootstrapped_pii,
     "op9_secret_scan": op9_secret_scan,
