@@ -2,56 +2,15 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The six ASCII white-space characters, \x09-\x0D and \x20.
-ASCII_SPACE = r"\x20\x09-\x0D"
+from ..scratch import Scratch, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.
-
-    Where it is unset (local tests) a temporary folder is made and remembered
-    in the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cellwright.scratch.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cellwright-")
-        spark.conf.set("cellwright.scratch.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables written in the shared folder to cut lineage.
-
-    A written table survives the loss of an executor, unlike a cached or
-    locally checkpointed one.
-    """
-
-    def __init__(self, spark: SparkSession, what: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return it as read back."""
-        out = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(out)
-        return self.spark.read.schema(df.schema).parquet(out)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            with contextlib.suppress(Exception):  # a leftover costs disk, never results
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "arrow_map", "partitions", "set_aside", "shared_dir", "table", "utf8"]
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -83,6 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def span_digest(spans: Column) -> Column:
-    """Lower-case hex SHA-256 of comma-joined span strings."""
-    return F.sha2(F.array_join(spans, ","), 256)
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with columns of these names renamed, and what gives the first columns back."""
+    taken = {n.lower() for n in names}
+    new = {c: f"__aside_{c}" if c.lower() in taken else c for c in df.columns}
+    return df.select(*[F.col(c).alias(n) for c, n in new.items()]), lambda got: got.select(*[F.col(n).alias(c) for c, n in new.items()])

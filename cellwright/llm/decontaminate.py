@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import Scratch, arrow_map, table, utf8
+from ._base import Scratch, arrow_map, set_aside, table, utf8
 
 _IS_WORD = lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -248,6 +248,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, most: float = 0.5, text_col: st
     length_col, if docs have it, becomes the new number of code points of a text
     that was cut.
     """
+    docs, restored = set_aside(docs, ["n_words", "n_hit", "spans", "items", "longest"])
     got = find(docs, benchmark, text_col=text_col, **options).where(F.col("n_hit") <= most * F.col("n_words"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -261,7 +262,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, most: float = 0.5, text_col: st
     clean = arrow_map(got, cut, got.schema)
     if length_col in docs.columns:
         clean = clean.withColumn(length_col, F.when(F.size("spans") > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return clean.select(*docs.columns)
+    return restored(clean)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import arrow_map, table, utf8
+from ._base import Scratch, arrow_map, set_aside, table, utf8
 
 BITS = 18
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -146,9 +146,9 @@ def train(rows: list[tuple[np.ndarray, list[float]]], labels: np.ndarray, epochs
 
 def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, Model]:
     """The models for good quality and for toxicity."""
-    marks = labels.where("quality is not null and toxic is not null").select(F.col(id_col).alias("__id"), "quality", "toxic")
-    marks = marks.orderBy(F.xxhash64("__id"), "quality", "toxic").limit(max_rows)
-    rows = docs.join(marks, F.col(id_col) == F.col("__id")).select(F.col(text_col).cast("string").alias("text"), F.col("quality").cast("int"), F.col("toxic").cast("int"))
+    marks = labels.where("quality is not null and toxic is not null").select(F.col(id_col).alias("__id"), F.col("quality").cast("int").alias("__quality"), F.col("toxic").cast("int").alias("__toxicity"))
+    marks = marks.orderBy(F.xxhash64("__id"), "__quality", "__toxicity").limit(max_rows)
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(marks, F.col("__doc") == F.col("__id")).select("__text", "__quality", "__toxicity")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [features(t) for t in utf8(batch.column(0))]
@@ -193,6 +193,9 @@ def _shrunk(k: float, prior: Column, total: Column, n: Column) -> Column:
     return prior if k == float("inf") else (k * prior + total) / (k + n)
 
 
+NEW = ["good_evidence", "toxic_evidence", "good_site", "toxic_site", "quality", "toxicity", "kept"]
+
+
 def scored(docs: DataFrame, models: tuple[Model, Model], host: Column, path: Column, text_col: str = "text") -> DataFrame:
     """docs with evidence, site posteriors, quality, toxicity and kept.
 
@@ -200,23 +203,23 @@ def scored(docs: DataFrame, models: tuple[Model, Model], host: Column, path: Col
     toxic_site (of the path, without the document), quality, toxicity, kept.
     Columns of docs with these names are replaced.
     """
-    new = ["good_evidence", "toxic_evidence", "good_site", "toxic_site", "quality", "toxicity", "kept"]
+    new = NEW
     docs = docs.drop(*new)
     name = lambda c: F.when(c.isNull(), "n").otherwise(F.concat(F.lit("s"), c.cast("string")))
     rows = with_evidence(docs.withColumns({"__host": name(host), "__path": name(path)}), models, text_col)
-    sums = [f(c).alias(f"{p}{c}") for c in ("__good", "__toxic") for p, f in (("s", F.sum), ("q", lambda c: F.sum(F.col(c) * F.col(c))))]
-    paths = rows.select("__host", "__path", "__good", "__toxic").groupBy("__host", "__path").agg(F.count("*").alias("n"), *sums)
-    paths = paths.persist()
-    hosts = paths.groupBy("__host").agg(F.sum("n").alias("hn"), *[F.sum(f"{p}{c}").alias(f"h{p}{c}") for c in ("__good", "__toxic") for p in "sq"])
-    whole = hosts.agg(F.sum("hn").alias("n"), F.sum("hs__good").alias("good"), F.sum("hs__toxic").alias("toxic")).first()
+    sums = [f(c).alias(f"__{p}{c}") for c in ("__good", "__toxic") for p, f in (("s", F.sum), ("q", lambda c: F.sum(F.col(c) * F.col(c))))]
+    paths = rows.select("__host", "__path", "__good", "__toxic").groupBy("__host", "__path").agg(F.count("*").alias("__n"), *sums)
+    paths = Scratch(docs.sparkSession, "quality").table(paths, "paths")
+    hosts = paths.groupBy("__host").agg(F.sum("__n").alias("__hn"), *[F.sum(f"__{p}{c}").alias(f"__h{p}{c}") for c in ("__good", "__toxic") for p in "sq"])
+    whole = hosts.agg(F.sum("__hn").alias("n"), F.sum("__hs__good").alias("good"), F.sum("__hs__toxic").alias("toxic")).first()
     got = rows.join(paths.join(hosts, "__host").drop("__host"), "__path")
     logit = lambda p: F.ln(p / (1 - p))
     bounded = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
     for c in ("good", "toxic"):
         mean = F.lit(min(1 - 1e-9, max(1e-9, (whole[c] or 0.0) / (whole["n"] or 1))))
-        host_k, path_k = _strength(hosts, f"hs__{c}", f"hq__{c}", "hn"), _strength(paths, f"s__{c}", f"q__{c}", "n")
-        of_host = _shrunk(host_k, mean, F.col(f"hs__{c}") - F.col(f"__{c}"), F.col("hn") - 1)
-        of_path = bounded(_shrunk(path_k, of_host, F.col(f"s__{c}") - F.col(f"__{c}"), F.col("n") - 1))
+        host_k, path_k = _strength(hosts, f"__hs__{c}", f"__hq__{c}", "__hn"), _strength(paths, f"__s__{c}", f"__q__{c}", "__n")
+        of_host = _shrunk(host_k, mean, F.col(f"__hs__{c}") - F.col(f"__{c}"), F.col("__hn") - 1)
+        of_path = bounded(_shrunk(path_k, of_host, F.col(f"__s__{c}") - F.col(f"__{c}"), F.col("__n") - 1))
         z = logit(bounded(F.col(f"__{c}"))) + logit(of_path) - logit(mean)
         got = got.withColumns({f"{c}_site": of_path, {"good": "quality", "toxic": "toxicity"}[c]: 1 / (1 + F.exp(-z))})
     empty = F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)) == 0
@@ -230,6 +233,12 @@ def by_source(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return scored(docs, fitted(docs, labels, **options), F.col("source"), path)
 
 
+def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are kept, with their own columns."""
+    docs, restored = set_aside(docs, NEW)
+    return restored(by_source(docs, labels, **options).where("kept"))
+
+
 def op6_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality, toxicity and decision for all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")

@@ -60,6 +60,9 @@ def test_clean(spark, documents):
     assert sorted(got) == [1, 3, 4]
     assert got[1].text == "start " + "here and there " * 10 + "! end." and got[1].n_chars == len(got[1].text)
     assert got[3].text == "é clean" and got[4].text is None
+    more = docs.withColumnsRenamed({"lang": "Spans", "source": "items"})
+    again = dc.clean(more, spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert again.columns == more.columns and {r.items for r in again.collect()} == {"s"}
 
 
 def test_empty_tables(spark, documents):

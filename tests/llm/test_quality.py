@@ -35,5 +35,8 @@ def test_sites_shrink(spark, documents):
 def test_empty_tables_and_extra_columns(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert q.by_source(documents([]), none).count() == 0
-    docs = documents([(1, "a b"), (1, "a b")]).withColumn("kept", F.lit("old")).withColumn("__good", F.lit(1))
-    assert len(q.by_source(docs.drop("__good"), none).collect()) == 2
+    docs = documents([(1, "a b"), (1, "a b")]).withColumns({c: F.lit("old") for c in ("kept", "Quality", "n", "toxic")})
+    assert len(q.by_source(docs, none).collect()) == 2
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = q.keep(docs, labels)
+    assert kept.columns == docs.columns and [r.Quality for r in kept.collect()] == ["old", "old"]
