@@ -21,8 +21,7 @@ ORACLE_SQL = None
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of bad quality, and toxic ones (operator 6, fitted on the labelled documents among docs)."""
-    scored = quality.by_source(docs, table(spark, sf_dir, "labels"))
-    return scored.where("kept").select(*docs.columns)
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
