@@ -96,11 +96,14 @@ class Model:
         return float(self.intercept + self.words[buckets].sum() + self.style[np.arange(STYLE), bins].sum())
 
 
-def _association(flat: np.ndarray, of: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def _association(rows: list[tuple[np.ndarray, list[float]]], labels: np.ndarray) -> np.ndarray:
     """The likelihood ratio statistic G2 of each bucket's presence with the label."""
     n, n1 = len(labels), labels.sum()
-    a = np.bincount(flat, labels[of], 1 << BITS)
-    total = np.bincount(flat, minlength=1 << BITS).astype(float)
+    a, total = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for (buckets, _), label in zip(rows, labels, strict=True):
+        total[buckets] += 1
+        if label:
+            a[buckets] += 1
     g = np.zeros(1 << BITS)
     for seen, whole, share in ((a, total, n1 / n), (total - a, total, 1 - n1 / n), (n1 - a, n - total, n1 / n), (n - n1 - total + a, n - total, 1 - n1 / n)):
         expected = whole * share
@@ -121,10 +124,9 @@ def train(rows: list[tuple[np.ndarray, list[float]]], labels: np.ndarray, epochs
     intercept = float(np.log(share / (1 - share)))
     style, words = np.zeros((STYLE, BINS)), np.zeros(1 << BITS)
     if 0 < labels.sum() < n:
-        of = np.repeat(np.arange(n), [len(b) for b, _ in rows])
-        flat = np.concatenate([b for b, _ in rows])
-        strong = (_association(flat, of, labels) >= least)[flat]
-        flat, of = flat[strong], of[strong]
+        strong = _association(rows, labels) >= least
+        some = [b[strong[b]] for b, _ in rows]
+        of, flat = np.repeat(np.arange(n), [len(b) for b in some]), np.concatenate(some)
         bins = (x[:, :, None] > edges).sum(2)
         place = bins + np.arange(STYLE) * BINS
         g_words, g_style, g_0 = np.full(1 << BITS, 1e-8), np.full(STYLE * BINS, 1e-8), 1e-8
