@@ -10,11 +10,19 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch, shared_dir
 
-__all__ = ["Scratch", "arrow_map", "partitions", "set_aside", "shared_dir", "table", "utf8"]
+__all__ = ["Scratch", "arrow_map", "partitions", "set_aside", "shared_dir", "small_batches", "table", "utf8"]
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most so many rows go to Python at once: texts can be long, and workers share an executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
+    small_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:

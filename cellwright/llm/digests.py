@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import partitions, table
+from ._base import partitions, small_batches, table
 
 BUCKETS = 128
 _GAPS = ((1, 2), (1, 3), (2, 4))
@@ -148,6 +148,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     null ids come last, and rows of one id go by text, greatest first.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     return _in_order(docs).select("doc_id", "text", "halo", "block").mapInArrow(_compared, _SCHEMA)
 
 

@@ -61,7 +61,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, kept for the words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

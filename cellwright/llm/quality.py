@@ -3,7 +3,8 @@
 Two logistic models over hashed words and style features, trained on labelled
 documents, give each document's evidence: the probability that its quality is
 good, and that it is toxic.  At most ``max_rows`` labelled documents (those of
-least id hash) are fitted; this is the only sample.
+least id hash) are fitted; this is the only sample.  Spark counts how often each
+hashed word goes with a label, and only words that do reach the driver.
 
 Hosts and paths (here: source, and source and language) get posteriors from all
 documents.  With mean p over all documents, a host of n documents whose
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import Scratch, arrow_map, set_aside, table, utf8
+from ._base import Scratch, arrow_map, set_aside, small_batches, table, utf8
 
 BITS = 18
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -44,11 +45,13 @@ _PLAIN = bytes(b for b in range(256) if b in b" \t\r\n.,;:'-?()\"" or 48 <= b <=
 STYLE = 9
 PREFIXES = (5, 7)
 BINS = 12
+#: The least association of a bucket that a model uses.
+LEAST = 40.0
 
 
 class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word) >> (64 - BITS)
         return value
@@ -96,22 +99,19 @@ class Model:
         return float(self.intercept + self.words[buckets].sum() + self.style[np.arange(STYLE), bins].sum())
 
 
-def _association(rows: list[tuple[np.ndarray, list[float]]], labels: np.ndarray) -> np.ndarray:
-    """The likelihood ratio statistic G2 of each bucket's presence with the label."""
-    n, n1 = len(labels), labels.sum()
-    a, total = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for (buckets, _), label in zip(rows, labels, strict=True):
-        total[buckets] += 1
-        if label:
-            a[buckets] += 1
-    g = np.zeros(1 << BITS)
+def association(n: float, n1: float, total: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The likelihood ratio statistic G2 of each bucket's presence with a label.
+
+    Of n rows n1 have the label; total rows have the bucket, a of them the label.
+    """
+    g = np.zeros(len(total))
     for seen, whole, share in ((a, total, n1 / n), (total - a, total, 1 - n1 / n), (n1 - a, n - total, n1 / n), (n - n1 - total + a, n - total, 1 - n1 / n)):
         expected = whole * share
         g += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
     return 2 * g
 
 
-def train(rows: list[tuple[np.ndarray, list[float]]], labels: np.ndarray, epochs: int = 150, decay: float = 0.3, least: float = 40.0) -> Model:
+def train(rows: list[tuple[np.ndarray, list[float]]], labels: np.ndarray, epochs: int = 150, decay: float = 0.3, least: float = LEAST) -> Model:
     """Logistic regression by full-batch gradient steps with per-weight rates (AdaGrad).
 
     Buckets take part whose presence goes with the label (G2 of at least
@@ -124,7 +124,11 @@ def train(rows: list[tuple[np.ndarray, list[float]]], labels: np.ndarray, epochs
     intercept = float(np.log(share / (1 - share)))
     style, words = np.zeros((STYLE, BINS)), np.zeros(1 << BITS)
     if 0 < labels.sum() < n:
-        strong = _association(rows, labels) >= least
+        total, a = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for (buckets, _), label in zip(rows, labels, strict=True):
+            total[buckets] += 1
+            a[buckets] += label
+        strong = association(n, labels.sum(), total, a) >= least
         some = [b[strong[b]] for b, _ in rows]
         of, flat = np.repeat(np.arange(n), [len(b) for b in some]), np.concatenate(some)
         bins = (x[:, :, None] > edges).sum(2)
@@ -154,17 +158,32 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: s
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [features(t) for t in utf8(batch.column(0))]
-        return pa.RecordBatch.from_arrays([pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["words", "style", "quality", "toxic"])
-
-    got = arrow_map(rows, run, "words binary, style array<double>, quality int, toxic int").toPandas()
+        words = pa.array([f[0] for f in found], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([words, pa.array([f[1] for f in found], pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["words", "style", "quality", "toxic"])
+
+    seen = Scratch(docs.sparkSession, "labelled").table(arrow_map(rows, run, "words array<int>, style array<double>, quality int, toxic int"), "features")
+    positive = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("quality", "toxic")]
+    whole = seen.agg(F.count("*").alias("n"), *positive).first()
+    counts = seen.select(F.explode("words").alias("word"), "quality", "toxic").groupBy("word").agg(F.count("*").alias("n"), *positive).toPandas()
+    used = np.zeros(1 << BITS, bool)
+    for c in ("quality", "toxic") if whole["n"] else ():
+        g = association(whole["n"], whole[c], counts["n"].to_numpy(float), counts[c].to_numpy(float))
+        used[counts["word"].to_numpy(int)] |= g >= LEAST
+
+    def strong(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = [np.asarray(w, np.int32) for w in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([w[used[w]].tobytes() for w in words], pa.binary()), *batch.columns[1:]], ["words", "style", "quality", "toxic"])
+
+    got = arrow_map(seen, strong, "words binary, style array<double>, quality int, toxic int").toPandas()
     # A fixed order, for equal sums in every run.
-    got = got.sort_values(["quality", "toxic", "words"]) if len(got) else got
+    got = got.assign(order=got["style"].map(tuple)).sort_values(["quality", "toxic", "words", "order"]) if len(got) else got
     found = [(np.frombuffer(w, np.int32), list(s)) for w, s in zip(got["words"], got["style"], strict=True)]
     return train(found, (got["quality"].to_numpy() > 0).astype(float)), train(found, (got["toxic"].to_numpy() > 0).astype(float))
 
 
 def with_evidence(docs: DataFrame, models: tuple[Model, Model], text_col: str = "text") -> DataFrame:
     """docs with __good and __toxic, probabilities from the text alone."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def score(texts: pd.Series) -> pd.DataFrame:
