@@ -13,9 +13,13 @@ link tags.  Its composite density is
 (zero divisors count as 1, the last logarithm as 0.1 at least), so link lists
 weigh little.  A node's density sum adds the densities of its children.  Where
 the page has <article> or <main> elements with text, the one of greatest density
-sum is the main text.  Otherwise the subtree of greatest density sum is, and the
-least density on its path to the body is the threshold: nodes beside the path
-that reach it belong to the text too (headings, further sections).
+sum is the main text.  Otherwise the subtree of greatest density sum is main
+text, as a whole if it is not the body.  Density grows with a part's size, so what lies beside the path
+from that subtree to the body (headlines, leads, short sections, bare text) is
+not judged by density alone: it is left out only if it is below the least
+density on the path and mostly links, more so than the path itself.  Headings
+stay, and so do paragraphs of one or two links between parts that stay; text
+within a list of links stays if a block of it is not mostly links.
 
 Character references are decoded, white space within a block becomes one space,
 blocks are trimmed and joined by line feeds, empty ones left out.  A null or
@@ -44,6 +48,7 @@ CUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog
 CUT_WORDS = frozenset(
     "ad ads adsense advert advertisement adverts advertising aside banner breadcrumb breadcrumbs byline-links comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pagination pager popup promo promoted promotion rail recommended register related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget widgets".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 SAFE = frozenset("html body article main".split())
 SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 PEERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("thead", "tbody", "tfoot"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody", "tfoot")}
@@ -212,6 +217,71 @@ def _blocks(chosen: list[Node]) -> list[str]:
     return out
 
 
+def _units(n: Node) -> list[tuple[int, int]]:
+    """Where a node's children are blocks, and runs of bare text and inline elements between them."""
+    out, block = [], True
+    for k, c in enumerate(n.children):
+        if isinstance(c, Node) and c.name not in INLINE:
+            out.append((k, k + 1))
+            block = True
+        elif block:
+            out.append((k, k + 1))
+            block = False
+        else:
+            out[-1] = (out[-1][0], k + 1)
+    return out
+
+
+def _links(unit: list) -> tuple[int, int, int]:
+    """Characters outside links, characters in links, and links of a unit."""
+    nodes = [c for c in unit if isinstance(c, Node)]
+    chars = sum(c.chars for c in nodes) + sum(len(c.strip()) for c in unit if not isinstance(c, Node))
+    inside = sum(c.chars if c.name == "a" else c.link_chars for c in nodes)
+    return chars - inside, inside, sum(c.link_tags + (c.name == "a") for c in nodes)
+
+
+def _prune(body: Node, best: Node) -> None:
+    """Empty what is mostly links beside the path from the body to best (in the body, if that is best)."""
+    path = [best]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    share = min([0.5, *(1 - n.link_chars / n.chars for n in path)])
+    on_path = {id(n) for n in path}
+    todo = path[:0:-1] or [body]  # the path; then what is below parts that are mostly links
+    n_path = len(todo)
+    for at, n in enumerate(todo):
+        spans = _units(n)
+        units = [n.children[i:j] for i, j in spans]
+        counts = [_links(u) for u in units]
+        fits = []
+        for u, (plain, inside, _) in zip(units, counts, strict=True):
+            nodes = [c for c in u if isinstance(c, Node)]
+            dense = any(id(c) in on_path or c.chars and c.density >= threshold for c in nodes)
+            title = at < n_path and nodes and nodes[0].name in HEADINGS
+            fits.append(bool(plain + inside) and bool(dense or title or plain >= share * (plain + inside)))
+        for k, (i, j) in enumerate(spans):
+            if fits[k]:
+                continue
+            block = units[k][0] if isinstance(units[k][0], Node) and units[k][0].name not in INLINE else None
+            if at < n_path and (block is None or block.name == "p") and counts[k][2] <= 2 and any(fits[:k]) and any(fits[k + 1 :]):
+                continue  # a byline or the like
+            if block is not None and any(isinstance(c, Node) and c.name not in INLINE for c in block.children):
+                todo.append(block)
+                continue
+            for c in units[k]:
+                if isinstance(c, Node):
+                    c.children, c.chars = [], 0
+            n.children[i:j] = [c if isinstance(c, Node) else " " for c in units[k]]
+    for n in reversed(todo[n_path:]):
+        text = False
+        for c in reversed(n.children):
+            if isinstance(c, Node) and c.name in HEADINGS and not text:
+                c.children, c.chars = [], 0
+            text = text or bool(c.chars if isinstance(c, Node) else c.strip())
+        n.chars = sum(c.chars if isinstance(c, Node) else len(c.strip()) for c in n.children)
+
+
 def main_text(page: str | None) -> str:
     """The page's main text."""
     if not page:
@@ -228,18 +298,8 @@ def main_text(page: str | None) -> str:
     best = max(_ordered(body), key=lambda n: n.total)
     if not best.total:
         return "\n".join(_blocks([body]))
-    path = [best]
-    while path[-1] is not body:
-        path.append(path[-1].parent)
-    threshold = min(n.density for n in path)
-    before, after = [], []
-    for n, down in zip(path[:0:-1], path[-2::-1], strict=True):
-        at = next(k for k, c in enumerate(n.children) if c is down)
-        fits = [[c for c in part if isinstance(c, Node) and c.chars and c.density >= threshold] for part in (n.children[:at], n.children[at + 1 :])]
-        before += fits[0]
-        after = fits[1] + after
-    chosen = [*before, best, *after]
-    return "\n".join(_blocks(chosen))
+    _prune(body, best)
+    return "\n".join(_blocks([body]))
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

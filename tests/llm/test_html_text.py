@@ -18,6 +18,17 @@ def test_without_article_element():
     assert main_text(page) == "Title\nA long first paragraph of the story, it goes on.\nA second paragraph, just as long as that."
 
 
+def test_short_parts_beside_the_body_text():
+    head, lead, part, long = "H" * 40, "l" * 150, "s" * 150, ["x" * 500 for _ in range(5)]
+    links = "".join(f"<li><a href=x>Link number {k}</a>" for k in range(20))
+    body = "".join(f"<p>{x}</p>" for x in long)
+    page = f"""<body><div><p><b>Plain</b> words above links</p><h3>More</h3><ul>{links}</ul></div><div id=content><h1>{head}</h1><p>By <a href=x>A. Long Name</a></p>
+    <p>{lead}</p>Bare <i>te</i>xt<div class=text>{body}</div><div><p>{part}</p><p>{part}</p></div>tail<ul>{links}</ul></div><a href=1>One</a> | <a href=2>Two</a> | <a href=3>Three</a></body>"""
+    assert main_text(page).split("\n") == ["Plain words above links", head, "By A. Long Name", lead, "Bare text", *long, part, part, "tail"]
+    assert main_text(f"<h2><a href=x>{head}</a></h2>{body}") == "\n".join([head, *long])
+    assert main_text("<div><ul>" * 2000 + links + "</ul></div>" * 2000 + body) == "\n".join(long)
+
+
 def test_edges():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<script>x") == ""
     assert main_text("plain text") == "plain text"
