@@ -11,15 +11,16 @@ link tags.  Its composite density is
     C / T * ln(C / LC * T / LT) / ln(ln(C / (C - LC) * LC + LC_body / C_body * C + e))
 
 (zero divisors count as 1, the last logarithm as 0.1 at least), so link lists
-weigh little.  A node's density sum adds the densities of its children.  Where
-the page has <article> or <main> elements with text, the one of greatest density
-sum is the main text.  Otherwise the subtree of greatest density sum is main
-text, as a whole if it is not the body.  Density grows with a part's size, so what lies beside the path
-from that subtree to the body (headlines, leads, short sections, bare text) is
-not judged by density alone: it is left out only if it is below the least
-density on the path and mostly links, more so than the path itself.  Headings
-stay, and so do paragraphs of one or two links between parts that stay; text
-within a list of links stays if a block of it is not mostly links.
+weigh little.  A node's density sum adds the densities of its children; that of
+an <article> or <main> counts twice.  The subtree of greatest density sum is main
+text, as a whole unless it is the body or a part around articles.  Density grows
+with a part's size, so what lies beside the path from that subtree to the body
+(headlines, leads, short sections, further articles, bare text) is not judged by
+density alone: it is left out only if it is below the least density on the path
+and mostly links, more so than the path itself (an <article> or <main>: nearly
+all links).  Headings stay, and so do paragraphs of one or two links between
+parts that stay; text within a list of links stays if a block of it is not
+mostly links.
 
 Character references are decoded, white space within a block becomes one space,
 blocks are trimmed and joined by line feeds, empty ones left out.  A null or
@@ -49,7 +50,10 @@ CUT_WORDS = frozenset(
     "ad ads adsense advert advertisement adverts advertising aside banner breadcrumb breadcrumbs byline-links comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pagination pager popup promo promoted promotion rail recommended register related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget widgets".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+REGIONS = frozenset(("article", "main"))
 SAFE = frozenset("html body article main".split())
+#: Articles have at least this share of their characters outside links.
+REGION_SHARE = 0.1
 SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 PEERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("thead", "tbody", "tfoot"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody", "tfoot")}
 
@@ -241,14 +245,16 @@ def _links(unit: list) -> tuple[int, int, int]:
 
 
 def _prune(body: Node, best: Node) -> None:
-    """Empty what is mostly links beside the path from the body to best (in the body, if that is best)."""
+    """Empty what is mostly links beside the path from the body to best (and in best, if that is the body or around articles)."""
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
     share = min([0.5, *(1 - n.link_chars / n.chars for n in path)])
     on_path = {id(n) for n in path}
-    todo = path[:0:-1] or [body]  # the path; then what is below parts that are mostly links
+    todo = path[:0:-1]  # the path; then what is below parts that are mostly links
+    if not any(n.name in REGIONS for n in path) and (best is body or any(n.name in REGIONS and n.chars for n in _ordered(best))):
+        todo.append(best)
     n_path = len(todo)
     for at, n in enumerate(todo):
         spans = _units(n)
@@ -259,7 +265,8 @@ def _prune(body: Node, best: Node) -> None:
             nodes = [c for c in u if isinstance(c, Node)]
             dense = any(id(c) in on_path or c.chars and c.density >= threshold for c in nodes)
             title = at < n_path and nodes and nodes[0].name in HEADINGS
-            fits.append(bool(plain + inside) and bool(dense or title or plain >= share * (plain + inside)))
+            least = min(share, REGION_SHARE) if nodes and nodes[0].name in REGIONS else share
+            fits.append(bool(plain + inside) and bool(dense or title or plain >= least * (plain + inside)))
         for k, (i, j) in enumerate(spans):
             if fits[k]:
                 continue
@@ -290,12 +297,8 @@ def main_text(page: str | None) -> str:
     nodes = measure(root)
     if not root.chars:
         return ""
-    own = [n for n in nodes if n.name in ("article", "main") and n.chars]
-    if own:
-        best = max(own, key=lambda n: (n.total, n.chars))
-        return "\n".join(_blocks([best]))
     body = next((n for n in nodes if n.name == "body" and n.chars), root)
-    best = max(_ordered(body), key=lambda n: n.total)
+    best = max(_ordered(body), key=lambda n: n.total * (2 if n.name in REGIONS else 1))
     if not best.total:
         return "\n".join(_blocks([body]))
     _prune(body, best)

@@ -29,6 +29,17 @@ def test_short_parts_beside_the_body_text():
     assert main_text("<div><ul>" * 2000 + links + "</ul></div>" * 2000 + body) == "\n".join(long)
 
 
+def test_articles_and_what_is_beside_them():
+    links = "<div>" + "".join(f"<a href=x>Link number {k}</a> " for k in range(20)) + "</div>"
+    a, b, c = "a" * 300, "b" * 300, "c" * 300
+    assert main_text(f"<main><h1>Title</h1>{links}<article><p>{a}</p><p>{b}</p></article></main>") == f"Title\n{a}\n{b}"
+    assert main_text(f"<body>{links}<article><p>{a}</p></article>{links}<article><p>{b}</p><p>{c}</p></article>{links}</body>") == f"{a}\n{b}\n{c}"
+    assert main_text(f"<body>{links}<article><p>{a}</article>{links}<article>{b}</article></body>") == f"{a}\n{b}"
+    assert main_text(f"<body><h1>Title</h1><p>Lead</p><article><p>{a}<p>{b}{links}</article>{links}</body>").startswith(f"Title\nLead\n{a}\n{b}\nLink number 0")
+    cards = "".join(f"<article><a href=x>Other story {k}</a></article>" for k in range(5))
+    assert main_text(f"<body><main><article><p>{a}<p>{b}</article></main><div>{cards}</div></body>") == f"{a}\n{b}"
+
+
 def test_edges():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<script>x") == ""
     assert main_text("plain text") == "plain text"
