@@ -3,7 +3,10 @@
 The page is parsed to a tree (with the closing tags that HTML implies).  Parts
 that are never article are cut: scripts, styles, forms, menus, page headers,
 footers, asides, hidden parts, and elements whose class, id or role says so
-(adverts, sidebars, notices, comments and the like).
+(adverts, sidebars, notices, comments and the like).  A word of a class or id may
+also be of a layout ("has-sidebar"), so the part stays if it holds the page's
+only articles or most of its text outside links; a name that is such a word as a
+whole ("sidebar") needs both, or four fifths of the text, and no article beside it.
 
 Each node has C characters and T tags below it, LC characters in links and LT
 link tags.  Its composite density is
@@ -63,31 +66,36 @@ _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+#: What _cut says of an element, in order of strength.
+NAMED, TITLED, CUT_OFF = 1, 2, 3
+
+
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "name", "parent", "tags", "total")
+    __slots__ = ("chars", "children", "cut", "density", "link_chars", "link_tags", "name", "parent", "tags", "total")
 
     def __init__(self, name: str, parent: Node | None):
-        self.name, self.parent, self.children = name, parent, []
+        self.name, self.parent, self.children, self.cut = name, parent, [], 0
         if parent is not None:
             parent.children.append(self)
 
 
-def _cut(name: str, attributes: str, stack: list[Node]) -> bool:
-    """Whether the element is no part of an article."""
+def _cut(name: str, attributes: str, stack: list[Node]) -> int:
+    """Whether the element is no part of an article: 0 it may be, NAMED a word of its class or id says so, TITLED all of one, CUT_OFF it is none."""
     if name in CUT:
-        return True
+        return CUT_OFF
     if name == "header":
-        return not any(n.name in ("article", "main") for n in stack)
+        return 0 if any(n.name in REGIONS for n in stack) else CUT_OFF
     if not attributes or name in SAFE:
-        return False
+        return 0
+    cut = 0
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key in ("class", "id"):
             if any(w.lower() in CUT_WORDS for w in _NAME_WORD.findall(value)):
-                return True
+                cut = max(cut, TITLED if any(w in CUT_WORDS for w in value.lower().split()) else NAMED)
         elif key == "role" and value.lower() in CUT_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-            return True
-    return False
+            return CUT_OFF
+    return cut
 
 
 def parse(page: str) -> Node:
@@ -149,10 +157,11 @@ def parse(page: str) -> Node:
                     break
         if name in VOID:
             Node(name, stack[-1])
-        elif _cut(name, attributes, stack):
+        elif (cut := _cut(name, attributes, stack)) == CUT_OFF:
             skip.append(name)
         else:
             stack.append(Node(name, stack[-1]))
+            stack[-1].cut = cut
     return root
 
 
@@ -164,6 +173,44 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
+def settle(root: Node) -> None:
+    """Empty the parts that class or id names as no article, but for those around the page's article."""
+    nodes = _ordered(root)
+    if not any(n.cut for n in nodes):
+        return
+    plain, regions, open_, sure = {}, {}, {}, {}
+    for n in reversed(nodes):
+        plain[n] = regions[n] = open_[n] = sure[n] = 0
+        for c in n.children:
+            if not isinstance(c, Node):
+                plain[n] += len(c.strip())
+                open_[n] += len(c.strip())
+            elif c.name != "a":
+                plain[n] += plain[c]  # characters outside links
+                regions[n] += plain[c] if c.name in REGIONS else regions[c]  # those in articles
+                if not c.cut:
+                    open_[n] += open_[c]  # those in no named part
+                    sure[n] += open_[c] if c.name in REGIONS else sure[c]  # those in articles and in no named part
+    rival = {root: False}  # an article with text in no named part is beside the node or one around it, or an <article> with such text is around
+    for n in nodes:
+        if n not in rival:
+            continue
+        of = {c: (open_[c] if c.name in REGIONS else sure[c]) if not c.cut else 0 for c in n.children if isinstance(c, Node)}
+        total, around = sum(of.values()), rival[n] or n.name == "article" and open_[n] > 0
+        for c in of:
+            rival[c] = around or total > of[c]
+            if not c.cut:
+                continue
+            share, holds = plain[c] / (plain[root] or 1), regions[c] > 0
+            if c.cut == NAMED:
+                keep = share > 0.5 or holds and not rival[c]
+            else:
+                keep = share > (0.5 if holds else 0.8) and not rival[c]
+            if not keep:
+                c.children = []
+                del rival[c]
+
+
 def measure(root: Node) -> list[Node]:
     """Fill in counts, densities and density sums of the tree."""
     nodes = _ordered(root)
@@ -294,6 +341,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    settle(root)
     nodes = measure(root)
     if not root.chars:
         return ""

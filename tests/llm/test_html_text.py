@@ -40,6 +40,19 @@ def test_articles_and_what_is_beside_them():
     assert main_text(f"<body><main><article><p>{a}<p>{b}</article></main><div>{cards}</div></body>") == f"{a}\n{b}"
 
 
+def test_layout_named_like_a_cut_part():
+    a, b = "a" * 300, "b" * 300
+    story, note = f"<p>{a}</p><p>{b}</p>", "<p>not the story but a note</p>"
+    for open_, close in (("<div class='content has-sidebar'>", "</div>"), ("<div id='page-with-nav'>", "</div>"), ("<section class='related-topic'>", "</section>"), ("<div class=widget>", "</div>")):
+        for text in (story, f"<article>{story}</article>", f"<main><article>{story}</article></main>"):
+            for more in ("", f"<div class=sidebar>{note}</div>", f"<div class='ad-box'>{note}</div>", f"<div id=comments><article>{note}</article></div>"):
+                assert main_text(f"<body>{open_}{more}{text}{more}{close}</body>") == f"{a}\n{b}"
+                assert main_text(f"<body>{more}{open_}{text}{close}{more}</body>") == f"{a}\n{b}"
+    cards = f"<div class='related-posts'><article>{note}</article></div>"
+    assert main_text(f"<body><main><p>{a}</p><div class='content has-sidebar'><p>{b}</p>{story}</div></main></body>") == f"{a}\n{b}\n{a}\n{b}"
+    assert main_text(f"<body><article>{story}{cards}</article><div class=comments>{story}{story}</div></body>") == f"{a}\n{b}"
+
+
 def test_edges():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<script>x") == ""
     assert main_text("plain text") == "plain text"
