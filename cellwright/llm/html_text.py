@@ -102,12 +102,12 @@ def parse(page: str) -> Node:
     """The tree of the page's parts that may be article."""
     root = Node("html", None)
     stack = [root]
+    off: list[Node] = []  # parts that are cut; tags within them close elements like others
     at, size = 0, len(page)
-    skip: list[str] = []  # open elements of a part that is cut
     while at < size:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else size]
-        if text and not skip:
+        if text:
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
@@ -116,29 +116,21 @@ def parse(page: str) -> Node:
         if not name:
             continue
         if m[1] or m[4]:
-            if skip:
-                if name in skip:
-                    del skip[len(skip) - 1 - skip[::-1].index(name) :]
-                elif name in ("body", "html", "article", "main") and any(n.name == name for n in stack):
-                    skip.clear()
-            if not skip:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        del stack[k:]
-                        break
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].name == name:
+                    del stack[k:]
+                    break
             continue
         attributes = m[3] or m[6] or ""
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        if skip:
-            if name == "body" and skip[0] == "head":
-                skip.clear()
-            else:
-                if name not in VOID and name not in ("p", "li"):
-                    skip.append(name)
-                continue
+        if name == "body":
+            for k in range(1, len(stack)):
+                if stack[k].name == "head":
+                    del stack[k:]
+                    break
         if name in ("html", "body") and any(n.name == name for n in stack):
             continue
         if name in CLOSES_P:
@@ -157,11 +149,18 @@ def parse(page: str) -> Node:
                     break
         if name in VOID:
             Node(name, stack[-1])
-        elif (cut := _cut(name, attributes, stack)) == CUT_OFF:
-            skip.append(name)
         else:
+            cut = _cut(name, attributes, stack)
             stack.append(Node(name, stack[-1]))
             stack[-1].cut = cut
+            if cut == CUT_OFF:
+                off.append(stack[-1])
+    for n in off:
+        n.children = []
+    for n in {n.parent for n in off}:
+        n.children = [c for c in n.children if isinstance(c, str) or c.cut != CUT_OFF or c.name in CLOSES_P]
+    for n in off:
+        n.cut = 0
     return root
 
 

@@ -53,6 +53,17 @@ def test_layout_named_like_a_cut_part():
     assert main_text(f"<body><article>{story}{cards}</article><div class=comments>{story}{story}</div></body>") == f"{a}\n{b}"
 
 
+def test_cut_parts_without_end_tags():
+    a, b = "a" * 300, "b" * 300
+    for cut in ("class='notice'", "hidden", "role=status", "style='display: none'"):
+        assert main_text(f"<body><article><p {cut}>Note<p>{a}<p>{b}</article></body>") == f"{a}\n{b}"
+        assert main_text(f"<body><article><p {cut}>Note <b>bold<div>{a}</div><p>{b}</article></body>") == f"{a}\n{b}"
+        assert main_text(f"<body><article><ul><li {cut}>Note<ul><li>x<li>y</ul><li>{a}<li>{b}</ul></article></body>") == f"{a}\n{b}"
+        assert main_text(f"<body><article><ul><li>{a}<li {cut}>Note</ul><p>{b}</article></body>") == f"{a}\n{b}"
+    assert main_text("<article><p>one <svg><text>x</text></svg>two <select><option>y<option>z</select>three</article>") == "one two three"
+    assert main_text(f"<html><head><noscript><p>x</head><body><nav><p>menu<p>menu</nav><article>{a}<aside>x</article>{b}</body>") == f"{a}\n{b}"
+
+
 def test_edges():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<script>x") == ""
     assert main_text("plain text") == "plain text"
