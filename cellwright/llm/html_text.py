@@ -45,9 +45,10 @@ from ._base import arrow_map, table
 # Element names of HTML, and words that mark parts other than the article.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("iframe noembed noframes plaintext script style textarea title xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+MATH = frozenset("maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img area audio map object param source track video".split()) | MATH
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul dd dt".split())
-CUT = frozenset("aside audio button canvas datalist dialog embed footer form frame frameset head iframe input map math menu nav noembed noframes noscript object option script search select style svg template textarea title video xmp".split())
+CUT = frozenset("annotation annotation-xml aside button canvas datalist dialog embed footer form frame frameset head iframe input menu nav noembed noframes noscript option script search select style svg template textarea title xmp".split())
 CUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status tablist toolbar tooltip".split())
 CUT_WORDS = frozenset(
     "ad ads adsense advert advertisement adverts advertising aside banner breadcrumb breadcrumbs byline-links comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pagination pager popup promo promoted promotion rail recommended register related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget widgets".split()

@@ -64,6 +64,13 @@ def test_cut_parts_without_end_tags():
     assert main_text(f"<html><head><noscript><p>x</head><body><nav><p>menu<p>menu</nav><article>{a}<aside>x</article>{b}</body>") == f"{a}\n{b}"
 
 
+def test_formulas_and_fallback_text():
+    math = "<math><semantics><mrow><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mi>y</mi></mrow><annotation encoding='application/x-tex'>x^2=y</annotation></semantics></math>"
+    assert main_text(f"<article><p>Let {math} hold.</p><p>Second</p></article>") == "Let x2=y hold.\nSecond"
+    for tag in ("object", "map", "audio", "video"):
+        assert main_text(f"<article><p>See <{tag}><source src=x>a chart</{tag}> here.</p><{tag}><p>Fallback</p></{tag}></article>") == "See a chart here.\nFallback"
+
+
 def test_edges():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<script>x") == ""
     assert main_text("plain text") == "plain text"
