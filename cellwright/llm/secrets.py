@@ -5,7 +5,9 @@ value of 12 characters or more), ``access`` (AKIA...) and ``hex``.
 
 The method adds spans of kind ``random``: runs of 20 or more characters of
 [A-Za-z0-9+/=_-] that overlap no base span, look drawn at random, and cannot be
-explained as ordinary text.
+explained as ordinary text.  Runs are split at inner equals signs (name=value); a
+part that does not look random as a whole is tried in pieces of 20 or more
+characters between its other separators.
 
 Randomness.  The narrowest encoding with the token's characters is inferred
 (hexadecimal, base 32, letters and digits, base 64), and three tests ask whether
@@ -44,6 +46,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST = 20
 _TOKEN = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
+_PART = re.compile(r"[^=]+(?:=+\Z)?")
+_PIECES = [re.compile(f"[{c}]{{20,}}=*") for c in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9")]
 
 #: Encodings from narrow to wide, with their alphabets in order.
 ENCODINGS = (
@@ -113,15 +117,36 @@ def evidence(token: str, frequency: np.ndarray) -> int:
     return int(min(STEPS - 1, max(0.0, -len(core) * math.log2(size) - np.log2(frequency[codes]).sum())))
 
 
-def tokens(text: str, base: list[tuple[int, int, int]]):
-    """(start, end, token) of long runs that overlap no base span."""
+def parts(run: str, least_fit: float) -> list[tuple[int, int]]:
+    """Where the run has parts that look random: what is between inner equals signs, else pieces between other separators."""
+    out = []
+    for m in _PART.finditer(run):
+        if m.end() - m.start() < LEAST:
+            continue
+        if fit(m[0]) >= least_fit:
+            out.append(m.span())
+            continue
+        taken: list[tuple[int, int]] = []
+        for piece in _PIECES:
+            for n in piece.finditer(run, m.start(), m.end()):
+                a, b = n.span()
+                if (a, b) != m.span() and not any(a < y and x < b for x, y in taken) and fit(n[0]) >= least_fit:
+                    taken.append((a, b))
+        out += sorted(taken)
+    return out
+
+
+def tokens(text: str, base: list[tuple[int, int, int]], least_fit: float):
+    """(start, end, token) of parts of long runs that look random and overlap no base span."""
     k, covered = 0, -1
     for m in _TOKEN.finditer(text):
-        while k < len(base) and base[k][0] < m.end():
-            covered = max(covered, base[k][1])
-            k += 1
-        if covered <= m.start():
-            yield m.start(), m.end(), m[0]
+        for a, b in parts(m[0], least_fit):
+            a, b = a + m.start(), b + m.start()
+            while k < len(base) and base[k][0] < b:
+                covered = max(covered, base[k][1])
+                k += 1
+            if covered <= a:
+                yield a, b, text[a:b]
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
@@ -165,7 +190,7 @@ def find(docs: DataFrame, keep: list[str], text_col: str = "text", rate: float =
         for text in batch.column(0).to_pylist():
             text = text or ""
             base = base_spans(text)
-            more = [(a, b, 3, evidence(t, frequency)) for a, b, t in tokens(text, base) if fit(t) >= least_fit]
+            more = [(a, b, 3, evidence(t, frequency)) for a, b, t in tokens(text, base, least_fit)]
             spans = sorted([(*s, None) for s in base] + more, key=lambda s: (s[0], s[2]))
             out.append([{"kind": k, "start": a, "end": b, "value": text[a:b], "evidence": e} for a, b, k, e in spans])
         return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, span)], [*keep, "secrets"])

@@ -52,6 +52,25 @@ def test_random_tokens_stand_out(documents):
     assert not [f for f in found if f not in keys]
 
 
+def test_values_joined_to_names(documents):
+    rng = random.Random(11)
+    b64, url = string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_"
+    draw = lambda alphabet: "".join(rng.choice(string.ascii_letters) + "".join(rng.choice(alphabet) for _ in range(38)) + rng.choice(string.ascii_letters))
+    forms = [("AWS_SECRET_ACCESS_KEY=%s", b64), ("session=%s", url), ("auth_key=%s==", b64), ("https://h.example/x?a=1&sig=%s&b=2", url), ("a=b=%s", b64), ("my_long_file_name-%s", b64)]
+    want, docs = [], []
+    for k in range(60):
+        form, alphabet = forms[k % len(forms)]
+        value = draw(alphabet)
+        while "%s==" not in form and alphabet == b64 and not set("+/") & set(value):
+            value = draw(alphabet)
+        want.append((form, value + ("==" if "%s==" in form else "")))
+        docs.append((k, f"set a_rather_long_name_of_things=internationalisation and {form % value} here"))
+    found = {r.doc_id: [s.value for s in r.secrets] for r in sc.find(documents(docs), ["doc_id"]).collect()}
+    for form in dict(forms):
+        hits = [found[k] == [v] for k, (f, v) in enumerate(want) if f == form]
+        assert sum(hits) >= len(hits) - 1, form
+
+
 def test_battery():
     rng = random.Random(8)
     fits = sorted(sc.fit("".join(rng.choice("0123456789abcdef") for _ in range(32))) for _ in range(200))
