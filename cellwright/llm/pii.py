@@ -11,8 +11,9 @@ are the seed entities of the bootstrap:
 
 Scores go to and fro over the graph, ``rounds`` times: a pattern's score is the
 mean score of its instances (seeds have 1, others what they have so far), but 0
-with fewer than ``support`` different seeds; an instance's score is one minus the
-product of its patterns' doubts.  Words whose score reaches ``least`` at the end,
+with fewer than ``support`` different instances whose score reaches ``least``, so
+that what one round finds admits patterns in the next; an instance's score is one
+minus the product of its patterns' doubts.  Words whose score reaches ``least`` at the end,
 after a pattern that reaches it too, are reported with kind ``context``.
 
 Everything is DataFrame functions.  Contexts and instances are grouped by value
@@ -123,14 +124,16 @@ def _discovered(spans: DataFrame, scratch: Scratch, support: int, least: float,
     two = F.when(size > 1, F.concat_ws(" ", F.element_at("left", -2), F.element_at("left", -1)))
     seen = seen.select("doc_id", "__key", "start", "end", "value", "seed", F.explode(F.array_compact(F.array(one, two))).alias("pattern"))
     edges = scratch.table(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
-    enough = edges.groupBy("pattern").agg(F.count_if("seed").alias("n")).where(F.col("n") >= support).select("pattern")
+    # Patterns of fewer instances can never have the support.
+    enough = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("pattern")
     edges = scratch.table(edges.join(enough, "pattern"), "supported")
     scores = None
     patterns = None
     for k in range(rounds):
         known = edges if scores is None else edges.join(scores, "value", "left")
         score = F.when(F.col("seed"), 1.0).otherwise(F.lit(0.0) if scores is None else F.coalesce("score", F.lit(0.0)))
-        patterns = scratch.table(known.groupBy("pattern").agg(F.avg(score).alias("confidence")), f"patterns{k}")
+        patterns = known.groupBy("pattern").agg(F.avg(score).alias("confidence"), F.count_if(score >= least).alias("n")).where(F.col("n") >= support)
+        patterns = scratch.table(patterns.drop("n"), f"patterns{k}")
         doubt = F.ln(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))
         scores = edges.where("not seed").join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(doubt))).alias("score"))
         scores = scratch.table(scores, f"scores{k}")

@@ -61,6 +61,15 @@ def test_patterns_find_unseen_identifiers(documents):
     assert pii.find(documents([])).count() == 0
 
 
+def test_discovered_identifiers_support_patterns(documents):
+    docs = [(k, f"address: user{k}@mail.example.org") for k in range(40)]
+    docs += [(100 + k, f"address: key{5000 + k}") for k in range(8)] + [(200 + k, f"account key{5000 + k}") for k in range(8)]
+    docs += [(300, "account new9999"), (301, "count 12345")]
+    got = {r.doc_id: [(s.start, s.end) for s in r.context] for r in pii.find(documents(docs)).collect()}
+    assert got[100] == [(9, 16)] and got[200] == [(8, 15)]
+    assert got[300] == [(8, 15)] and got[301] == []
+
+
 def test_repeats_and_null_ids(documents):
     docs = [(1, "a@b.cd"), (1, "a@b.cd"), (None, "x"), (None, "1.2.3.4")]
     assert sorted((str(r.doc_id), len(r.email), len(r.ip)) for r in pii.find(documents(docs)).collect()) == [("1", 1, 0), ("1", 1, 0), ("None", 0, 0), ("None", 0, 1)]
