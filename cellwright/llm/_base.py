@@ -2,37 +2,79 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch, shared_dir
+from ..scratch import Scratch, dropped_after, shared_dir
 
-__all__ = ["Scratch", "arrow_map", "partitions", "set_aside", "shared_dir", "small_batches", "table", "utf8"]
+__all__ = ["Own", "Scratch", "arrow_map", "content", "dropped_after", "partitions", "quoted", "shared_dir", "sliced", "table", "utf8"]
 
+#: Rows and bytes of a batch that Python works on at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let at most so many rows go to Python at once: texts can be long, and workers share an executor."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-    small_batches(df.sparkSession)
+
+class Own:
+    """A DataFrame's own columns under names that no operator uses (own0, own1, ...).
+
+    Operators work on ``df``, to which they may add columns of any other name,
+    and ``back`` gives the own columns their names again.
+    """
+
+    def __init__(self, df: DataFrame, replaced: Iterable[str] = ()):
+        """replaced: names of columns that the operator will add; df loses its columns of these names."""
+        gone = {n.lower() for n in replaced}
+        self.names = [c for c in df.columns if c.lower() not in gone]
+        self.df = df.select(*[F.col(quoted(c)).alias(f"own{k}") for k, c in enumerate(self.names)])
+
+    def name(self, column: str) -> str:
+        """What a column is called in ``df``."""
+        lower = [c.lower() for c in self.names]
+        return f"own{self.names.index(column) if column in self.names else lower.index(column.lower())}"
+
+    def __getitem__(self, column: str) -> Column:
+        return F.col(self.name(column))
+
+    def back(self, df: DataFrame, *more: Column | str) -> DataFrame:
+        """df's own columns by their names, and more columns."""
+        return df.select(*[F.col(f"own{k}").alias(c) for k, c in enumerate(self.names)], *more)
+
+
+def content(df: DataFrame) -> Column:
+    """A hash of all columns that have one (all types but maps and variants)."""
+    some = [f.name for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return F.xxhash64(F.lit(0), *[F.col(quoted(c)) for c in some])
+
+
+def sliced(batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and bytes (or a single longer row)."""
+    if batch.num_rows <= 1 or batch.num_rows <= rows and batch.nbytes <= size:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    for part in (batch.slice(0, half), batch.slice(half)):
+        yield from sliced(part, rows, size)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema) -> DataFrame:
+    """mapInArrow with a function of one batch of bounded rows and bytes."""
 
     def run(batches):
-        for batch in batches:
-            out = fn(batch)
-            if out is None:
-                continue
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+        for whole in batches:
+            for batch in sliced(whole):
+                out = fn(batch)
+                if out is None:
+                    continue
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
 
     return df.mapInArrow(run, schema)
 
@@ -48,10 +90,3 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """df with columns of these names renamed, and what gives the first columns back."""
-    taken = {n.lower() for n in names}
-    new = {c: f"__aside_{c}" if c.lower() in taken else c for c in df.columns}
-    return df.select(*[F.col(c).alias(n) for c, n in new.items()]), lambda got: got.select(*[F.col(n).alias(c) for c, n in new.items()])

@@ -5,31 +5,53 @@ A key descends region, rack and shard.  On each level every child draws
 least draw wins, so a child gets keys in proportion to its weight.  A child's
 draw depends on nothing but the key, its path and its weight: when a weight
 grows, keys move only towards that child, and all other subtrees keep theirs.
-A shard added as a subtree of its own therefore takes rows only into itself.
+
+``layout`` makes the tree of a number of shards: ``regions`` regions of ``racks``
+racks of ``seats`` seats, of which the shards take the first so many, dealt over
+regions and racks in turn; shards beyond the last seat are regions of their own.
+A key that comes to a seat without a shard descends again with other draws.  So
+the number of shards alone decides, and one more shard takes rows only into
+itself, whatever the number: a key's earlier descents end where they did, and a
+key moves only if one of them comes to the new seat (or region).  Keys that find
+no shard in ``TRIES`` descents go to the shard of least draw among all, which
+keeps this law too.
+
+Each level is one expression over a small constant table of its subtrees, so the
+plan stays short.  The whole is DataFrame functions.
 
 Slots number the rows of a shard without gaps.  They come from two levels:
 rows are dealt to ``subs`` hash parts of each shard, parts are numbered by a
 prefix sum over their counts, and rows only within a part.  No task holds a
 whole shard.
 
-A null key has a shard too (that of the null hash, law ``key`` allows no
-other).  Identical rows get different slots.  Null texts weigh nothing.
+Nulls: a null key has a shard too (that of the null hash; law ``key`` allows no
+other), so rows without a key all go to one shard.  Null and empty texts weigh
+nothing, very long ones are never moved to Python.  Ties and repeats: rows of one
+key share a shard, and are numbered by a hash of their other columns (of all types
+but maps and variants); identical rows get different slots.  An empty table gives
+an empty result with all columns.  Columns named shard, grown_shard or slot are replaced; any
+other names, also internal ones, are kept as they are.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._base import table
+from ._base import Own, Scratch, content, table
+
+#: Descents of a key before it goes to the least draw among all shards.
+TRIES = 24
+_CHILD = "struct<path:string,weight:double,number:int>"
 
 
 @dataclass(frozen=True)
 class Node:
-    """A subtree; a leaf has a shard number and no children."""
+    """A subtree; a leaf has no children, and a shard number unless it is an empty seat."""
 
     path: str
     weight: float
@@ -49,79 +71,94 @@ def tree(racks: dict[str, dict[str, dict[int, float]]]) -> tuple[Node, ...]:
     return tuple(out)
 
 
-def even_tree(shards: int, regions: int = 4, racks: int = 2) -> tuple[Node, ...]:
-    """Equal weights; shards dealt in order over regions x racks."""
-    groups = regions * racks
-    spec: dict = {}
-    for s in range(shards):
-        g = s * groups // shards
-        spec.setdefault(f"region{g // racks}", {}).setdefault(f"rack{g % racks}", {})[s] = 1.0
-    return tree(spec)
+def layout(shards: int, regions: int = 4, racks: int = 4, seats: int = 4) -> tuple[Node, ...]:
+    """The tree of so many shards of equal weight."""
+    out = []
+    for r in range(regions):
+        inside = []
+        for k in range(racks):
+            at = [r + regions * (k + racks * s) for s in range(seats)]
+            inside.append(Node(f"{r}/{k}", float(seats), tuple(Node(f"{r}/{k}/{s}", 1.0, shard=s if s < shards else None) for s in at)))
+        out.append(Node(f"{r}", float(racks * seats), tuple(inside)))
+    for s in range(regions * racks * seats, shards):
+        out.append(Node(f"+{s}", 1.0, (Node(f"+{s}/0", 1.0, (Node(f"+{s}/0/{s}", 1.0, shard=s),)),)))
+    return tuple(out)
+
+
+def _least(key: Column, attempt: Column, children: Column) -> Column:
+    """The number of the child of least draw; children: (path, weight, number) structs."""
 
+    def draw(c: Column) -> Column:
+        uniform = (F.shiftrightunsigned(F.xxhash64(key, c["path"], attempt), 11).cast("double") + 0.5) / float(1 << 53)
+        return F.struct((-F.ln(uniform) / c["weight"]).alias("draw"), c["number"].alias("number"))
 
-def grown(nodes: tuple[Node, ...], shard: int, weight: float = 1.0) -> tuple[Node, ...]:
-    """The tree with one more shard, in a region and rack of its own."""
-    path = f"region+{shard}"
-    leaf = Node(f"{path}/rack0/{shard}", weight, shard=shard)
-    return (*nodes, Node(path, weight, (Node(f"{path}/rack0", weight, (leaf,)),)))
+    return F.array_min(F.transform(children, draw))["number"]
 
 
-def _draw(key: Column, node: Node) -> Column:
-    uniform = (F.shiftrightunsigned(F.xxhash64(key, F.lit(node.path)), 11).cast("double") + 0.5) / float(1 << 53)
-    return -F.ln(uniform) / F.lit(float(node.weight))
+def _constant(value: list, schema: str) -> Column:
+    """A constant table, which Catalyst folds to one literal."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
 
 
-def _least(key: Column, nodes: tuple[Node, ...], values: list[int]) -> Column:
-    if len(nodes) == 1:
-        return F.lit(values[0])
-    draws = [F.struct(_draw(key, n).alias("draw"), F.lit(v).alias("value")) for n, v in zip(nodes, values, strict=True)]
-    return F.least(*draws)["value"]
+def shard_of(key: Column, nodes: tuple[Node, ...]) -> Column:
+    """The key's shard in the tree (never null)."""
+    racks = [x for n in nodes for x in n.children]
+    leaves = [x for rack in racks for x in rack.children]
+    number_of = {id(n): k for level in (nodes, racks, leaves) for k, n in enumerate(level)}
+    child = lambda n, k: {"path": n.path, "weight": float(n.weight), "number": k}
+    inside = lambda level: [[child(x, number_of[id(x)]) for x in n.children] for n in level]
+    regions = _constant([child(n, k) for k, n in enumerate(nodes)], f"array<{_CHILD}>")
+    of_region, of_rack = (_constant(inside(level), f"array<array<{_CHILD}>>") for level in (nodes, racks))
+    shards = _constant([-1 if x.shard is None else x.shard for x in leaves], "array<int>")
 
+    def descend(attempt: Column) -> Column:
+        region = _least(key, attempt, regions)
+        rack = F.transform(F.array(region), lambda r: _least(key, attempt, of_region[r]))[0]
+        leaf = F.transform(F.array(rack), lambda r: _least(key, attempt, of_rack[r]))[0]
+        return shards[leaf]
 
-def _choice(parent: Column, options: dict[int, Column]) -> Column:
-    out = None
-    for value, column in options.items():
-        out = F.when(parent == value, column) if out is None else out.when(parent == value, column)
-    return out
+    if all(x.shard is not None for x in leaves):
+        return F.coalesce(descend(F.lit(0)), F.lit(-1))
+    tries = F.sequence(F.lit(0), F.lit(TRIES - 1))
+    found = F.aggregate(tries, F.lit(-1), lambda got, attempt: F.when(got >= 0, got).otherwise(F.coalesce(descend(attempt), F.lit(-1))))
+    filled = [x for x in leaves if x.shard is not None]
+    last = _least(key, F.lit(TRIES), _constant([child(x, x.shard) for x in filled], f"array<{_CHILD}>"))
+    # One evaluation of the descents, and a value that cannot be null (else joins would filter by it again).
+    return F.coalesce(F.transform(F.array(found), lambda s: F.when(s >= 0, s).otherwise(last))[0], F.lit(-1))
 
 
 def place(df: DataFrame, key: Column, nodes: tuple[Node, ...], out: str) -> DataFrame:
     """df with the key's shard in column out."""
-    region, rack = f"__{out}_region", f"__{out}_rack"
-    df = df.withColumn(region, _least(key, nodes, list(range(len(nodes)))))
-    racks = {r: _least(key, n.children, [r << 16 | k for k in range(len(n.children))]) for r, n in enumerate(nodes)}
-    df = df.withColumn(rack, _choice(F.col(region), racks))
-    leaves = {r << 16 | k: _least(key, x.children, [leaf.shard for leaf in x.children]) for r, n in enumerate(nodes) for k, x in enumerate(n.children)}
-    return df.withColumn(out, _choice(F.col(rack), leaves).cast("int")).drop(region, rack)
+    return df.withColumn(out, shard_of(key, nodes).cast("int"))
 
 
 def number(df: DataFrame, key: Column, shard: str = "shard", out: str = "slot", subs: int = 1024) -> DataFrame:
-    """df with gapless numbers from 0 within each shard."""
-    part = F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(subs)).cast("int")
+    """df (without columns of names like __part) with gapless numbers from 0 within each shard."""
+    part = F.coalesce(F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(subs)), F.lit(0)).cast("int")
     df = df.withColumn("__part", part)
     counts = df.groupBy(shard, "__part").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(shard).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(shard, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
-    inside = F.row_number().over(Window.partitionBy(shard, "__part").orderBy(F.xxhash64(key), key))
-    df = df.join(counts, [shard, "__part"])
-    return df.withColumn(out, F.col("__from") + inside - 1).drop("__part", "__from")
+    counts = counts.select(F.col(shard).alias("__shard"), F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    counts = Scratch(df.sparkSession, "slots").table(counts, "parts")
+    inside = F.row_number().over(Window.partitionBy(shard, "__part").orderBy(F.xxhash64(key), key, content(df.drop("__part"))))
+    got = df.withColumn("__at", inside)
+    # At most subs rows a shard: Spark sends them to all tasks.
+    got = got.join(F.broadcast(counts), (F.col(shard) == F.col("__shard")) & (F.col("__part") == F.col("__of")))
+    return got.withColumn(out, (F.col("__from") + F.col("__at") - 1).cast("long")).drop("__part", "__from", "__shard", "__of", "__at")
 
 
 def assign(df: DataFrame, id_col: str = "doc_id", shards: int = 40) -> DataFrame:
-    """df with columns shard, grown_shard (with one more shard) and slot.
-
-    Columns of df with these names are replaced.
-    """
-    df = df.drop("shard", "grown_shard", "slot")
-    nodes = even_tree(shards)
-    key = F.col(id_col)
-    df = place(df, key, nodes, "shard")
-    df = place(df, key, grown(nodes, shards), "grown_shard")
-    return number(df, key)
+    """df with columns shard, grown_shard (with one more shard) and slot."""
+    if shards < 1:
+        raise ValueError("at least one shard")
+    own = Own(df, ["shard", "grown_shard", "slot"])
+    key = own[id_col]
+    got = number(place(own.df, key, layout(shards), "shard"), key)
+    return own.back(got, "shard", shard_of(key, layout(shards + 1)).cast("int").alias("grown_shard"), "slot")
 
 
 def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards under the law ``key``."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    return assign(docs).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    return assign(docs).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
