@@ -1,6 +1,9 @@
+import math
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from cellwright.llm import sharding as sh
@@ -17,6 +20,52 @@ def test_query(spark, sf):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def descend(doc_id, nodes):
+    """The shard of a key, by plain recursion."""
+
+    def draw(node, attempt):
+        h = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", attempt), xxhash.xxh64_intdigest(node.path.encode(), h))
+        return -math.log(((h >> 11) + 0.5) / 2**53) / node.weight
+
+    for attempt in range(sh.TRIES):
+        below = nodes
+        while below:
+            node = min(below, key=lambda n: draw(n, attempt))
+            below = node.children
+        if node.shard is not None:
+            return node.shard
+    leaves = [x for n in nodes for rack in n.children for x in rack.children if x.shard is not None]
+    return min(leaves, key=lambda n: draw(n, sh.TRIES)).shard
+
+
+def test_matches_plain_descent(spark):
+    df = spark.createDataFrame([(None,), *[(k * 7919,) for k in range(1500)]], "doc_id long")
+    for n in (1, 3, 40, 66):
+        got = sh.assign(df, shards=n).collect()
+        assert len(got) == 1501
+        assert all(r.shard == descend(r.doc_id, sh.layout(n)) and r.grown_shard == descend(r.doc_id, sh.layout(n + 1)) for r in got)
+
+
+def test_count_of_shards_decides(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    for n in (2, 40, 63, 64):
+        grown = {r.doc_id: (r.shard, r.grown_shard) for r in sh.assign(df, shards=n).collect()}
+        assert {i: g for i, (_, g) in grown.items()} == {r.doc_id: r.shard for r in sh.assign(df, shards=n + 1).collect()}
+        assert all(g in (s, n) for s, g in grown.values())
+
+
+def test_plan_stays_short_and_compiles(spark):
+    got = sh.assign(spark.range(10).selectExpr("id doc_id", "'x' text"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 10_000
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert got.count() == 10
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def test_even_and_stable(spark):
     df = spark.range(40_000).withColumnRenamed("id", "doc_id")
     got = sh.assign(df).collect()
@@ -38,7 +87,15 @@ def test_weights_and_confined_movement(spark):
 
 
 def test_nulls_repeats_clashes_and_empty(spark):
-    df = spark.createDataFrame([(None, "x", 9), (None, "x", 9), (1, None, 9), (1, "y", 9)], "doc_id long, text string, shard int")
+    rows = [(None, "x", 9, "p", 1), (None, "x", 9, "p", 1), (1, None, 9, "q", 2), (1, "y", 9, "r", 3), (2, "z" * 3_000_000, 9, None, 4), (3, "", 9, "s", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, __part string, own0 int")
     got = sh.assign(df).collect()
-    assert len(got) == 4 and sorted(r.slot for r in got if r.doc_id is None) in ([0, 1], [1, 2], [2, 3])
+    assert sorted((r.doc_id or 0, r.text or "", r["__part"] or "", r.own0) for r in got) == sorted((r[0] or 0, r[1] or "", r[3] or "", r[4]) for r in rows)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sh.assign(df).columns == ["doc_id", "text", "__part", "own0", "shard", "grown_shard", "slot"]
+    again = {(r.doc_id, r.text): r.slot for r in sh.assign(df.repartition(5)).collect()}
+    assert again == {(r.doc_id, r.text): r.slot for r in got if r.doc_id is not None} | {(None, "x"): again[None, "x"]}
     assert sh.assign(df.limit(0)).count() == 0
