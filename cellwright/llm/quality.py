@@ -4,7 +4,10 @@ Two logistic models over hashed words and style features, trained on labelled
 documents, give each document's evidence: the probability that its quality is
 good, and that it is toxic.  At most ``max_rows`` labelled documents (those of
 least id hash) are fitted; this is the only sample.  Spark counts how often each
-hashed word goes with a label, and only words that do reach the driver.
+hashed word goes with a label, and only words that do reach the driver.  The
+labels of these documents, bounded by ``max_rows``, are broadcast, so the texts
+are not shuffled.  Each text is scored once: the evidence is written to a table
+that both the sums over sites and the decisions read.
 
 Hosts and paths (here: source, and source and language) get posteriors from all
 documents.  With mean p over all documents, a host of n documents whose
@@ -19,13 +22,22 @@ The site sums are grouped aggregations with partial sums, so a host with a third
 of all rows is no hot spot, and only joins with the (small) site table follow.
 
 A document is kept if it is more likely good than not and more likely not toxic
-than toxic.  Null or empty texts are rejected.  Null hosts form one host.  Labels
-that are null, or of documents that are not there, are ignored; without labels of
-both kinds the model's answer is the only kind's.
+than toxic.
+
+Nulls and empty texts: null or empty texts are rejected; null hosts form one host,
+null ids are scored like others but have no labels.  Very long texts are scored
+whole.  Labels that are null, or of documents that are not there, are ignored;
+without labels of both kinds the model's answer is the only kind's.  Ties: of
+labels with equal hashes those of least quality and toxicity are fitted first; a
+quality of exactly 0.5 is kept, a toxicity of 0.5 is not.  Repeated rows are
+documents of their own with equal evidence.  An empty table gives an empty result.
+Columns with the names of new ones are replaced (by ``keep``: kept); all other
+columns stay as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import Scratch, arrow_map, set_aside, small_batches, table, utf8
+from ._base import Own, Scratch, arrow_map, table, utf8
 
 BITS = 18
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -154,14 +166,15 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: s
     """The models for good quality and for toxicity."""
     marks = labels.where("quality is not null and toxic is not null").select(F.col(id_col).alias("__id"), F.col("quality").cast("int").alias("__quality"), F.col("toxic").cast("int").alias("__toxicity"))
     marks = marks.orderBy(F.xxhash64("__id"), "__quality", "__toxicity").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(marks, F.col("__doc") == F.col("__id")).select("__text", "__quality", "__toxicity")
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(marks), F.col("__doc") == F.col("__id")).select("__text", "__quality", "__toxicity")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [features(t) for t in utf8(batch.column(0))]
         words = pa.array([f[0] for f in found], pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([words, pa.array([f[1] for f in found], pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["words", "style", "quality", "toxic"])
 
-    seen = Scratch(docs.sparkSession, "labelled").table(arrow_map(rows, run, "words array<int>, style array<double>, quality int, toxic int"), "features")
+    scratch = Scratch(docs.sparkSession, "labelled")
+    seen = scratch.table(arrow_map(rows, run, "words array<int>, style array<double>, quality int, toxic int"), "features")
     positive = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("quality", "toxic")]
     whole = seen.agg(F.count("*").alias("n"), *positive).first()
     counts = seen.select(F.explode("words").alias("word"), "quality", "toxic").groupBy("word").agg(F.count("*").alias("n"), *positive).toPandas()
@@ -175,16 +188,16 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: s
         return pa.RecordBatch.from_arrays([pa.array([w[used[w]].tobytes() for w in words], pa.binary()), *batch.columns[1:]], ["words", "style", "quality", "toxic"])
 
     got = arrow_map(seen, strong, "words binary, style array<double>, quality int, toxic int").toPandas()
+    scratch.drop()
     # A fixed order, for equal sums in every run.
     got = got.assign(order=got["style"].map(tuple)).sort_values(["quality", "toxic", "words", "order"]) if len(got) else got
     found = [(np.frombuffer(w, np.int32), list(s)) for w, s in zip(got["words"], got["style"], strict=True)]
     return train(found, (got["quality"].to_numpy() > 0).astype(float)), train(found, (got["toxic"].to_numpy() > 0).astype(float))
 
 
-def with_evidence(docs: DataFrame, models: tuple[Model, Model], text_col: str = "text") -> DataFrame:
-    """docs with __good and __toxic, probabilities from the text alone."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def evidence(spark: SparkSession, models: tuple[Model, Model], text: Column) -> Column:
+    """A struct of good and toxic: probabilities from the text alone."""
+    shared = spark.sparkContext.broadcast(models)
 
     def score(texts: pd.Series) -> pd.DataFrame:
         good, toxic = shared.value
@@ -195,8 +208,7 @@ def with_evidence(docs: DataFrame, models: tuple[Model, Model], text_col: str =
         p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
         return pd.DataFrame({"good": p[:, 0], "toxic": p[:, 1]})
 
-    evidence = F.pandas_udf(score, "good double, toxic double")(F.col(text_col).cast("string"))
-    return docs.withColumn("__evidence", evidence).select(*docs.columns, F.col("__evidence.good").alias("__good"), F.col("__evidence.toxic").alias("__toxic"))
+    return F.pandas_udf(score, "good double, toxic double")(text.cast("string"))
 
 
 def _strength(sites: DataFrame, total: str, squares: str, n: str) -> float:
@@ -217,51 +229,65 @@ def _shrunk(k: float, prior: Column, total: Column, n: Column) -> Column:
 NEW = ["good_evidence", "toxic_evidence", "good_site", "toxic_site", "quality", "toxicity", "kept"]
 
 
-def scored(docs: DataFrame, models: tuple[Model, Model], host: Column, path: Column, text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, models: tuple[Model, Model], host: Callable[[Own], Column], path: Callable[[Own], Column], text_col: str = "text", dropped: tuple[str, ...] = ()) -> DataFrame:
     """docs with evidence, site posteriors, quality, toxicity and kept.
 
     New columns: good_evidence, toxic_evidence (from the text), good_site,
     toxic_site (of the path, without the document), quality, toxicity, kept.
-    Columns of docs with these names are replaced.
+    Columns of docs with these names are replaced.  host and path make a row's
+    sites from its columns.  dropped: columns that the result need not have.
     """
-    new = NEW
-    docs = docs.drop(*new)
+    spark = docs.sparkSession
+    own = Own(docs, NEW)
+    text = own[text_col].cast("string")
     name = lambda c: F.when(c.isNull(), "n").otherwise(F.concat(F.lit("s"), c.cast("string")))
-    rows = with_evidence(docs.withColumns({"__host": name(host), "__path": name(path)}), models, text_col)
+    empty = F.coalesce(F.length(text), F.lit(0)) == 0
+    got = own.df.withColumns({"__host": name(host(own)), "__path": name(path(own)), "__empty": empty, "__evidence": evidence(spark, models, text)})
+    got = got.select("*", F.col("__evidence.good").alias("__good"), F.col("__evidence.toxic").alias("__toxic")).drop("__evidence")
+    left = [c for c in own.names if c not in dropped]
+    got = got.drop(*[own.name(c) for c in dropped if c in own.names])
+    scratch = Scratch(spark, "quality")
+    rows = scratch.table(got, "evidence")
     sums = [f(c).alias(f"__{p}{c}") for c in ("__good", "__toxic") for p, f in (("s", F.sum), ("q", lambda c: F.sum(F.col(c) * F.col(c))))]
-    paths = rows.select("__host", "__path", "__good", "__toxic").groupBy("__host", "__path").agg(F.count("*").alias("__n"), *sums)
-    paths = Scratch(docs.sparkSession, "quality").table(paths, "paths")
+    paths = rows.groupBy("__host", "__path").agg(F.count("*").alias("__n"), *sums)
+    paths = scratch.table(paths, "paths")
     hosts = paths.groupBy("__host").agg(F.sum("__n").alias("__hn"), *[F.sum(f"__{p}{c}").alias(f"__h{p}{c}") for c in ("__good", "__toxic") for p in "sq"])
     whole = hosts.agg(F.sum("__hn").alias("n"), F.sum("__hs__good").alias("good"), F.sum("__hs__toxic").alias("toxic")).first()
-    got = rows.join(paths.join(hosts, "__host").drop("__host"), "__path")
+    got = rows.join(paths.join(hosts, "__host"), ["__host", "__path"])
     logit = lambda p: F.ln(p / (1 - p))
     bounded = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
-    for c in ("good", "toxic"):
+    out = {}
+    for c, of in (("good", "quality"), ("toxic", "toxicity")):
         mean = F.lit(min(1 - 1e-9, max(1e-9, (whole[c] or 0.0) / (whole["n"] or 1))))
         host_k, path_k = _strength(hosts, f"__hs__{c}", f"__hq__{c}", "__hn"), _strength(paths, f"__s__{c}", f"__q__{c}", "__n")
         of_host = _shrunk(host_k, mean, F.col(f"__hs__{c}") - F.col(f"__{c}"), F.col("__hn") - 1)
         of_path = bounded(_shrunk(path_k, of_host, F.col(f"__s__{c}") - F.col(f"__{c}"), F.col("__n") - 1))
         z = logit(bounded(F.col(f"__{c}"))) + logit(of_path) - logit(mean)
-        got = got.withColumns({f"{c}_site": of_path, {"good": "quality", "toxic": "toxicity"}[c]: 1 / (1 + F.exp(-z))})
-    empty = F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)) == 0
-    got = got.withColumn("kept", (F.col("quality") >= 0.5) & (F.col("toxicity") < 0.5) & ~empty)
-    return got.select(*docs.columns, F.col("__good").alias("good_evidence"), F.col("__toxic").alias("toxic_evidence"), *new[2:])
+        out |= {f"{c}_site": of_path, of: 1 / (1 + F.exp(-z))}
+    kept = (out["quality"] >= 0.5) & (out["toxicity"] < 0.5) & ~F.col("__empty")
+    names = [F.col(own.name(c)).alias(c) for c in left]
+    return got.select(*names, F.col("__good").alias("good_evidence"), F.col("__toxic").alias("toxic_evidence"), *[out[c].alias(c) for c in NEW[2:-1]], kept.alias("kept"))
 
 
-def by_source(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def _sites(source: str, lang: str) -> tuple[Callable[[Own], Column], Callable[[Own], Column]]:
+    """Host and path from the columns of source and language."""
+    return lambda own: own[source], lambda own: F.to_json(F.struct(own[source].cast("string").alias("source"), own[lang].cast("string").alias("lang")))
+
+
+def by_source(docs: DataFrame, labels: DataFrame, dropped: tuple[str, ...] = (), **options) -> DataFrame:
     """Scores of documents with hosts from source and paths from source and language."""
-    path = F.to_json(F.struct(F.col("source").cast("string"), F.col("lang").cast("string")))
-    return scored(docs, fitted(docs, labels, **options), F.col("source"), path)
+    return scored(docs, fitted(docs, labels, **options), *_sites("source", "lang"), dropped=dropped)
 
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
-    docs, restored = set_aside(docs, NEW)
-    return restored(by_source(docs, labels, **options).where("kept"))
+    own = Own(docs)
+    got = scored(own.df, fitted(docs, labels, **options), *_sites(own.name("source"), own.name("lang")), own.name("text"))
+    return own.back(got.where("kept"))
 
 
 def op6_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality, toxicity and decision for all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    got = by_source(docs, table(spark, sf_dir, "labels"))
-    return got.select("doc_id", "source", "lang", "good_evidence", "toxic_evidence", "good_site", "toxic_site", "quality", "toxicity", "kept")
+    got = by_source(docs, table(spark, sf_dir, "labels"), ("text",))
+    return got.select("doc_id", "source", "lang", *NEW)
