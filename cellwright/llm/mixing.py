@@ -13,21 +13,27 @@ a size are taken again is decided by a seeded hash: sizes are cut into 4096
 hash parts, whole parts are taken by a prefix sum, and only the part at the
 border is ranked.  So no task holds all documents of a source or of a size.
 
-Null texts and texts without words have size 0 and are taken 0 words.  Null
-sources form one source.  Identical repeated rows are separate documents; which
-of them is repeated is no matter.  A source without words has target 0.
+Nulls and empty texts: null texts and texts without words have size 0 and are
+taken 0 words; null sources form one source, null ids are ids like others.  A
+source without words has target 0.  Very long texts are counted in Spark, and only
+sizes reach the knapsack, which holds four bytes for each word of the budget that
+is left.  Ties: documents of one size are ranked by hash, then id, then the hash of
+their other columns.  Identical repeated rows are separate documents; which of
+them is repeated is no matter.  An empty table gives an empty result.  ``mixed``
+keeps all columns of docs, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._base import Scratch, table
+from ._base import Own, Scratch, content, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -36,12 +42,23 @@ WEIGHTS = (3, 1, 2)
 def fit(budget: int, sizes: Sequence[int], counts: Sequence[int], window: int = 1 << 16) -> list[int]:
     """How many documents of each size to take so that their words come to budget.
 
-    Never more than the budget; exact wherever the knapsack reaches it.
+    Never more than the budget; exact wherever the knapsack reaches it.  Where an
+    even share of each size leaves it short, the knapsack alone fits a budget of at
+    most 2 ** 24 words and 2 ** 33 bit operations: as near as any choice can come.
     """
     whole = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if budget >= whole:
         return list(counts)
-    take = [budget * c // whole for c in counts]
+    words = lambda take: sum(s * t for s, t in zip(sizes, take, strict=True))
+    take = _knapsack(budget, sizes, counts, [budget * c // whole for c in counts], window)
+    if words(take) < budget <= 1 << 24 and budget * sum(c.bit_length() for c in counts) <= 1 << 33:
+        take = max(take, _knapsack(budget, sizes, counts, [0] * len(sizes), budget), key=words)
+    return take
+
+
+def _knapsack(budget: int, sizes: Sequence[int], counts: Sequence[int], share: list[int], window: int) -> list[int]:
+    """share of the counts, and what more brings their words nearest to the budget from below."""
+    take = list(share)
     rest = budget - sum(s * t for s, t in zip(sizes, take, strict=True))
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     for i in order:
@@ -50,20 +67,27 @@ def fit(budget: int, sizes: Sequence[int], counts: Sequence[int], window: int =
         more = min(counts[i] - take[i], max(0, (rest - window // 2) // sizes[i]))
         take[i] += more
         rest -= more * sizes[i]
-    # Bit b of reached: b words can be made up.  Counts are split into powers of two.
+    # Bit b of reached: b words can be made up; step_of[b]: the step that first did.  Counts are split into powers of two.
     reached, steps, limit = 1, [], (1 << rest + 1) - 1
+    step_of = np.full(rest + 1, -1, np.int32)
     for i in order:
         left, n = min(counts[i] - take[i], rest // sizes[i]), 1
         while left > 0 and not reached >> rest & 1:
             n = min(n, left)
-            steps.append((i, n, reached))
-            reached |= reached << n * sizes[i] & limit
+            new = reached << n * sizes[i] & limit & ~reached
+            if new:
+                bits = np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8)
+                some = np.flatnonzero(bits)
+                at, bit = np.nonzero(np.unpackbits(bits[some, None], axis=1, bitorder="little"))
+                step_of[some[at] * 8 + bit] = len(steps)
+                steps.append((i, n))
+                reached |= new
             left, n = left - n, 2 * n
     at = reached.bit_length() - 1
-    for i, n, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += n
-            at -= n * sizes[i]
+    while at:
+        i, n = steps[step_of[at]]
+        take[i] += n
+        at -= n * sizes[i]
     return take
 
 
@@ -121,18 +145,18 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7, w
     return got.select("doc_id", "mark", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it."""
-    seed = options.get("seed", 7)
-    copies = mix(docs, **options).select("doc_id", "mark", "copies")
-    same = lambda order: F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(order))
-    copies = copies.withColumn("__k", same(F.desc("copies"))).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "__k", "copies")
-    rows = docs.withColumn("__mark", F.xxhash64(F.lit(seed), F.col("doc_id"), "text", "source"))
-    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "__mark").orderBy(F.lit(0))))
-    copies = copies.withColumnRenamed("__mark", "__m").withColumnRenamed("__k", "__n").withColumnRenamed("copies", "__copies")
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")) & (F.col("__k") == F.col("__n"))
-    rows = rows.join(copies, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return rows.select(*docs.columns)
+    own = Own(docs)
+    names = [own.name(c) for c in (id_col, text_col, source_col)]
+    copies = mix(own.df, id_col=names[0], text_col=names[1], source_col=names[2], **options).where("copies > 0")
+    # Equal rows have one mark; the k-th of them meets the k-th answer.
+    k = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(F.desc("copies")))
+    copies = copies.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m"), k.alias("__n"), F.col("copies").cast("int").alias("__copies"))
+    rows = own.df.withColumn("__mark", F.xxhash64(F.lit(options.get("seed", 7)), *names))
+    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy(names[0], "__mark").orderBy(content(own.df))))
+    on = F.col(names[0]).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")) & (F.col("__k") == F.col("__n"))
+    return own.back(rows.join(copies, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
