@@ -12,18 +12,21 @@ def words(text):
 
 
 def brute(docs, items, window=10):
+    windows = {}
+    for item, t in items:
+        b = words(t)
+        size = min(window, len(b))
+        for k in range(len(b) - size + 1) if b else ():
+            windows.setdefault(size, {}).setdefault(tuple(b[k : k + size]), set()).add(str(item))
     out = {}
     for i, text in docs:
         w = words(text)
         hit, found = set(), set()
-        for item, t in items:
-            b = words(t)
-            size = min(window, len(b))
-            for k in range(len(b) - size + 1) if b else ():
-                for a in range(len(w) - size + 1):
-                    if w[a : a + size] == b[k : k + size]:
-                        hit |= set(range(a, a + size))
-                        found.add(str(item))
+        for size, known in windows.items():
+            for a in range(len(w) - size + 1):
+                if (of := known.get(tuple(w[a : a + size]))) is not None:
+                    hit |= set(range(a, a + size))
+                    found |= of
         out[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
     return out
 
@@ -51,6 +54,8 @@ def test_matches_brute_force_on_generated_text(spark, tables, documents):
     assert rows(dc.op3_decontaminate(spark, folder)) == expected
     many = dc.find(documents(docs), bench, max_words=60)
     assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in many.collect()} == {k: v[:3] for k, v in expected.items()}
+    one = {r.doc_id: (r.spans, r["items"], r.longest) for r in dc.find(documents(docs), bench).collect()}
+    assert {r.doc_id: (r.spans, r["items"], r.longest) for r in many.collect()} == one
 
 
 def test_clean(spark, documents):
@@ -72,8 +77,27 @@ def test_empty_tables(spark, documents):
 
 
 def test_query(spark, sf):
-    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()][:80]
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     got = rows(dc.op3_decontaminate(spark, sf))
-    expected = brute(docs, items)
-    assert {k: got[k] for k in expected} == expected
+    assert got == brute(docs, items)
+
+
+def test_long_text_repeats_null_ids_and_names(spark, documents):
+    item = " ".join(f"q{k}" for k in range(30))
+    long = "plain words of a long text " * 200_000 + item + " more " * 10
+    docs = documents([(None, long), (1, item), (1, item), (None, None)])
+    odd = docs.selectExpr("*", "'r' __row", "'t' __text", "'o' own0", "'x' start")
+    bench = spark.createDataFrame([(7, item), (7, item), (None, "only here")], "item_id long, text string")
+    for options in ({}, {"max_words": 30}):
+        got = dc.find(odd, bench, **options)
+        assert got.columns == odd.columns + dc.NEW
+        assert sorted((r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect()) == [(0, 0, ()), (30, 30, ("7",)), (30, 30, ("7",)), (1_200_040, 30, ("7",))]
+        assert {(r["__row"], r["__text"], r.own0, r.start) for r in got.collect()} == {("r", "t", "o", "x")}
+
+
+def test_size_of_the_automaton():
+    rng = random.Random(1)
+    items = [(k, [b"w%d" % int(rng.paretovariate(0.8)) for _ in range(100)]) for k in range(300)]
+    found = dc.Automaton(items, 10).sizes()
+    assert found["states"] <= 2 * 30_000 and found["transitions"] <= 3 * 30_000 and found["bytes"] < 200 * 30_000
