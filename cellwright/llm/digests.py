@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import partitions, small_batches, table
+from ._base import partitions, sliced, table
 
 BUCKETS = 128
 _GAPS = ((1, 2), (1, 3), (2, 4))
@@ -106,7 +106,7 @@ _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 def _rows(batches):
     """Each row with the text of the row after it in its block."""
     held, first = None, None
-    for batch in batches:
+    for batch in (part for whole in batches for part in sliced(whole)):
         for doc_id, text, halo, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = text or ""
             if held is not None and held[2] != block:
@@ -148,7 +148,6 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     null ids come last, and rows of one id go by text, greatest first.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    small_batches(docs.sparkSession)
     return _in_order(docs).select("doc_id", "text", "halo", "block").mapInArrow(_compared, _SCHEMA)
 
 

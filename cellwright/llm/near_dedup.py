@@ -25,7 +25,9 @@ so a link needs x and y to share at least w(x) + w(y) elements of their
 differences, w growing with |D| and |A| (see ``_weight``).  At least one of the two
 has no link to p, so that number is positive, and a prefix filter applies: each
 class keeps the rarest of its differences that must hold a shared one, and only
-classes that share such a one are compared.  Differences nobody shares are the
+classes that share such a one are compared, by the differences each shares with
+anyone: linked are those that share w(x) + w(y) of them, so a comparison needs no
+full sets, and only links leave the join.  Differences nobody shares are the
 rarest, so copies with edits of their own meet nobody.  No link between
 components is lost, and a group of n near copies costs about n comparisons.
 
@@ -33,11 +35,18 @@ Before larger joins, rows that cannot match are left out by a bitmap of hashed
 keys.  It has a bounded size; where it fills up it lets more rows pass and the
 exact join decides.
 
-Empty texts (null, or without words) link with nothing.  Rows with a null
-document id take part, yet never give a component its name: ``component_id`` is
-the least non-null id reachable, null if there is none, and such a nameless row
-is kept.  Identical repeated rows get identical results.  Document ids are
-otherwise taken to be unique.
+Hot groups: classes of equal sets are made by partial aggregation, so a group of
+exact copies is one row.  Facts of a pivot or a component are joined by a salt, too.  Joins of buckets by key stand right behind their shuffles, where Spark
+splits a key that is too large for a task.
+
+Classes go by numbers of their own, so ids may be null.  Nulls: a row without id
+takes part like any other; ``component_id`` is the least non-null id reachable,
+null if there is none.  Empty texts (null, or without words) link with nothing.
+Ties: a class is represented by its row of least id, then of least hash.  Repeated
+ids: each row is judged by its own text, and identical rows get identical results.
+Very long texts are handled whole, one batch of texts at a time.  An empty table
+gives an empty result.  Columns of docs other than id and text play no part, and
+``one_of_each`` keeps them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,7 +60,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import Scratch, arrow_map, table, utf8
+from ._base import Own, Scratch, arrow_map, quoted, table, utf8
 
 PERMS, MAX_ERRORS = 64, 23
 _MASK = (1 << 64) - 1
@@ -145,24 +154,28 @@ def bucket_keys(sig: np.ndarray, max_errors: int) -> np.ndarray:
     return _mix(sums[:, chunk] - h + salt).astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, perms: int) -> DataFrame:
-    """Per row: id, set size, 128-bit digest of the set, and signature."""
+def row_key(id_: Column, text: Column) -> Column:
+    """A 128-bit key of a row: its id and text."""
+    return F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.when(text.isNull(), ":").otherwise(F.concat(F.lit(":t"), text))))
+
+
+def fingerprints(texts: DataFrame, width: int, perms: int) -> DataFrame:
+    """Of rows (doc_id, key, text): id, key, set size, 128-bit digest of the set, and signature."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, width) for t in utf8(batch.column(1))]
+        sets = [shingle_set(t, width) for t in utf8(batch.column(2))]
         sig = signatures(sets, perms)
         return pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
+                *batch.columns[:2],
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([r.tobytes() for r in sig], pa.binary()),
             ],
-            ["doc_id", "n_shingles", "digest", "sig"],
+            ["doc_id", "key", "n_shingles", "digest", "sig"],
         )
 
-    got = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(got, run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return arrow_map(texts, run, "doc_id long, key string, n_shingles long, digest binary, sig binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -187,12 +200,11 @@ def _with_both(pairs: DataFrame, nodes: DataFrame, payload: list[str]) -> DataFr
     return salted.join(ends("a"), "a").join(right, ["b", "salt"]).drop("salt")
 
 
-def _distance(x: pd.Series, y: pd.Series) -> pd.Series:
-    """In how many symbols two signatures differ."""
-    if not len(x):
-        return pd.Series([], dtype="int32")
-    a, b = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (x, y))
-    return pd.Series((a != b).sum(1).astype("int32"))
+def _with_hot(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+    """Rows with the facts of their key, one of which may hold a third of all rows; by tells rows apart."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(32)))
+    spread = salted.select(key, "salt").distinct().join(facts, key)
+    return salted.join(spread, [key, "salt"]).drop("salt")
 
 
 class Bitmap:
@@ -220,11 +232,11 @@ class Bitmap:
         return F.pandas_udf(run, "boolean")(value)
 
 
-def _load(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """The shingle sets of the ids' texts: id, set."""
-    hashed = F.xxhash64(F.col("id"))
-    some = docs.where("id is not null").where(Bitmap(ids.select(hashed)).keeps(hashed))
-    return _sets(some.join(ids, "id", "left_semi").dropDuplicates(["id"]), width)
+def _load(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The shingle sets (id, set) of the wanted classes (id, key), from the rows that represent them."""
+    hashed = F.xxhash64("key")
+    some = texts.where(Bitmap(wanted.select(hashed)).keeps(hashed))
+    return _sets(some.join(wanted, "key").dropDuplicates(["id"]).select("id", "text"), width)
 
 
 def _pairs_of(edges: DataFrame) -> DataFrame:
@@ -243,7 +255,7 @@ def _weight(percent: int) -> Column:
 
 
 def _left_over(tested: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that may be linked though their components differ.
+    """Linked pairs (a, b) of classes whose components differ.
 
     tested: all classes a compared with a pivot b, with n_a, n_b, both and linked.
     A pair can share no more differences than either class shares with anyone, so
@@ -255,7 +267,7 @@ def _left_over(tested: DataFrame, labels: DataFrame, sets: DataFrame, scratch: S
     groups = named.groupBy("b").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("w").alias("least"), F.min(F.when(~F.col("linked"), F.col("w"))).alias("least_apart"))
     groups = groups.where("x <> y and least_apart is not null").select("b", "least", "least_apart")
     lower = F.col("w") + F.when(F.col("linked"), F.col("least_apart")).otherwise(F.col("least"))
-    live = named.join(groups, "b").where(lower <= unit * (F.col("n_a") + F.col("n_b") - 2 * F.col("both"))).select("a", "b", "label", "linked", "n_b", "w")
+    live = _with_hot(named, groups, "b", "a").where(lower <= unit * (F.col("n_a") + F.col("n_b") - 2 * F.col("both"))).select("a", "b", "label", "linked", "n_b", "w")
     live = scratch.table(live, "live")
     both = _with_both(live, sets, ["set"])
     items = F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a"))
@@ -270,15 +282,16 @@ def _left_over(tested: DataFrame, labels: DataFrame, sets: DataFrame, scratch: S
     steps = steps.groupBy("b").agg(F.collect_list(F.struct("slack", "any", "apart")).alias("steps"))
     covers = F.filter("steps", lambda x: x["slack"] >= F.floor(F.col("w") / step))
     partner = F.when(F.col("linked"), F.array_min(F.transform(covers, lambda x: x["apart"]))).otherwise(F.array_min(F.transform(covers, lambda x: x["any"])))
-    ranked = ranked.join(steps, "b").withColumn("partner", partner).where("partner is not null")
+    ranked = _with_hot(ranked, scratch.table(steps, "steps"), "b", "a").withColumn("partner", partner).where("partner is not null")
     # Of the differences shared with anyone, rarest first, this many hold one that a linked pair shares.
     take = F.col("some") - F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("partner")) / unit - 1e-9)) + 1
     ranked = ranked.withColumn("take", take.cast("int")).where("take > 0")
-    ranked = ranked.select("a", "b", "label", "linked", "w", "some", F.explode(F.slice("items", F.lit(1), F.col("take"))["item"]).alias("item"))
+    ranked = ranked.select("a", "b", "label", "linked", "w", "some", F.transform("items", lambda x: x["item"]).alias("shared"), F.explode(F.slice("items", F.lit(1), F.col("take"))["item"]).alias("item"))
     ranked = scratch.table(ranked, "prefixes")
-    x, y = (ranked.select("b", "item", *[F.col(c).alias(f"{c}_{k}") for c in ("a", "label", "linked", "w", "some")]) for k in "xy")
-    pairs = x.join(y, ["b", "item"]).where("a_x > a_y and label_x <> label_y and not (linked_x and linked_y)").where(F.col("w_x") + F.col("w_y") <= unit * F.least("some_x", "some_y"))
-    return pairs.select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).distinct()
+    x, y = (ranked.select("b", "item", *[F.col(c).alias(f"{c}_{k}") for c in ("a", "label", "linked", "w", "some", "shared")]) for k in "xy")
+    need = F.col("w_x") + F.col("w_y")
+    pairs = x.join(y, ["b", "item"]).where("a_x > a_y and label_x <> label_y and not (linked_x and linked_y)").where(need <= unit * F.least("some_x", "some_y"))
+    return pairs.where(need <= unit * F.size(F.array_intersect("shared_x", "shared_y"))).select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).distinct()
 
 
 def _contract(edges: DataFrame, labels: DataFrame | None, scratch: Scratch, tag: str) -> DataFrame:
@@ -310,20 +323,16 @@ def _contract(edges: DataFrame, labels: DataFrame | None, scratch: Scratch, tag:
         k += 1
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, perms: int = PERMS, max_errors: int | None = None) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept.
-
-    width: words of a shingle.  percent: least similarity of a link.  perms,
-    max_errors: symbols of a signature and the distance up to which all pairs
-    are found (by default ``errors_for`` percent: a link is missed with a
-    probability of at most 1e-5).
-    """
-    spark = docs.sparkSession
+def _classified(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, perms: int, max_errors: int | None) -> DataFrame:
+    """Per row of docs: doc_id, key, n_shingles, and best: the row (nameless, doc_id, key) its component is named after."""
     max_errors = errors_for(percent, perms) if max_errors is None else max_errors
-    scratch = Scratch(spark, "near-dedup")
-    prints = scratch.table(fingerprints(docs, id_col, text_col, width, perms), "prints")
-    nodes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("digest", F.col("n_shingles").alias("n"), "sig").agg(F.min("doc_id").alias("rep"))
-    nodes = scratch.table(nodes, "nodes")
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    texts = texts.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    prints = scratch.table(fingerprints(texts, width, perms), "prints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
+    nodes = prints.where("n_shingles > 0").groupBy("digest", F.col("n_shingles").alias("n"), "sig").agg(best.alias("best"))
+    nodes = scratch.table(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         if not batch.num_rows:
@@ -343,29 +352,62 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = scratch.table(keys.join(shared, "key"), "buckets")
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
     weight = buckets.join(sizes, "key").groupBy("rep").agg(F.sum("n").alias("n"))
-    buckets = scratch.table(buckets.join(weight, "rep"), "weighed")
-    pivots = buckets.groupBy("key").agg(F.max_by("rep", F.struct("n", -F.col("rep"))).alias("pivot"))
-    pairs = buckets.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    weighed = scratch.table(buckets.join(weight, "rep"), "weighed")
+    pivots = weighed.groupBy("key").agg(F.max_by("rep", F.struct("n", -F.col("rep"))).alias("pivot"))
+    pairs = weighed.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = scratch.table(pairs, "pairs")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = scratch.table(_load(texts, _pairs_of(pairs), width), "sets")
+    scratch.drop("shared", "buckets", "weighed")
+    wanted = _pairs_of(pairs).join(nodes.select(F.col("rep").alias("id"), F.col("best.key").alias("key")), "id")
+    sets = scratch.table(_load(texts, scratch.table(wanted, "wanted"), width), "sets")
     links = (100 + percent) * F.col("both") >= percent * (F.col("n_a") + F.col("n_b"))
     tested = _with_both(pairs, sets, ["set"]).select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
     tested = scratch.table(tested.withColumn("linked", links), "tested")
     labels = _contract(tested.where("linked").select("a", "b"), None, scratch, "1")
 
-    rest = _left_over(tested, labels, sets, scratch, percent)
-    near = _with_both(rest, nodes.select(F.col("rep").alias("id"), "n", "sig"), ["n", "sig"])
-    near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(F.pandas_udf(_distance, "int")("sig_a", "sig_b") <= max_errors)
-    edges = _with_both(near.select("a", "b", "n_a", "n_b"), sets, ["set"]).withColumn("both", F.size(F.array_intersect("set_a", "set_b"))).where(links)
+    edges = _left_over(tested, labels, sets, scratch, percent)
     at = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"to_{x}"))
     edges = edges.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left")
     labels = _contract_on(edges.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")), labels, scratch)
 
-    named = nodes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
-    got = prints.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return got.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    # Components get their names: the least row of each.
+    linked = scratch.table(nodes.select("rep", "digest", "best").join(labels.withColumnRenamed("id", "rep"), "rep", "left"), "linked")
+    some = linked.where("label is not null")
+    names = scratch.table(some.groupBy("label").agg(F.min("best").alias("name")), "names")
+    named = _with_hot(some, names, "label", "rep").select("digest", F.col("name").alias("best"))
+    named = named.union(linked.where("label is null").select("digest", "best"))
+    named = scratch.table(named, "named-classes")
+    scratch.drop("nodes", "pairs", "wanted", "sets", "tested", "named", "live", "differences", "ranked", "steps", "prefixes", "linked", "names")
+    got = prints.select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
+    return got.select("doc_id", "key", "n_shingles", "best")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, perms: int = PERMS, max_errors: int | None = None) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, kept.
+
+    width: words of a shingle.  percent: least similarity of a link.  perms,
+    max_errors: symbols of a signature and the distance up to which all pairs
+    are found (by default ``errors_for`` percent: a link is missed with a
+    probability of at most 1e-5).  kept: the row has its component's id; of a
+    component without any id, it has the text that stands for the component.
+    """
+    got = _classified(docs, id_col, text_col, width, percent, perms, max_errors)
+    component = F.when(F.col("n_shingles") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id"))
+    nameless = F.when(F.col("n_shingles") > 0, F.col("best.key") == F.col("key")).otherwise(F.lit(True))
+    return got.select("doc_id", "n_shingles", component.alias("component_id"), F.when(component.isNull(), nameless).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, perms: int = PERMS, max_errors: int | None = None) -> DataFrame:
+    """The rows of docs that stay: one of each component.
+
+    It is the row of least id that is not null, else one without id.  Rows
+    without words are linked with nothing and stay.  Of rows that are equal in id
+    and text one stays.
+    """
+    own = Own(docs)
+    rows = _classified(own.df, own.name(id_col), own.name(text_col), width, percent, perms, max_errors)
+    stay = Scratch(docs.sparkSession, "kept").table(rows.where((F.col("n_shingles") == 0) | (F.col("best.key") == F.col("key"))).select(F.col("key").alias("__key")).distinct(), "keys")
+    keyed = own.df.withColumn("__key", row_key(own[id_col].cast("long"), own[text_col].cast("string")))
+    return own.back(keyed.join(stay, "__key").dropDuplicates(["__key"]))
 
 
 def _contract_on(edges: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
