@@ -11,10 +11,9 @@ automaton are no SQL.  Tests compare the stages with brute force instead.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cellwright.llm import decontaminate, mixing, near_dedup, quality, sharding
-from cellwright.llm._base import Scratch, table
+from cellwright.llm._base import Scratch, dropped_after, table
 
 ORACLE_SQL = None
 
@@ -27,19 +26,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates (operator 1: five words, similarity 0.8).
 
-    Rows with one id are one document; one of them stays.  Rows without an id
-    stay if nothing with an id is like them.
+    The one of least id stays; of a group without ids, one without id.  Of rows
+    that are equal in id and text one stays.  Texts without words are in no group.
     """
-    kept = near_dedup.components(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(_nameless(docs, kept))
-
-
-def _nameless(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows without an id, one of each exact text that no row with an id has."""
-    nameless = docs.where("doc_id is null")
-    named = docs.where("doc_id is not null").select(F.xxhash64("text").alias("__text"))
-    return nameless.withColumn("__hash", F.xxhash64("text")).join(named, F.col("__hash") == F.col("__text"), "left_anti").dropDuplicates(["__hash"]).select(*docs.columns)
+    return near_dedup.one_of_each(docs, width=5, percent=80)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +57,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents.
+
+    A stage's result is written before the next one starts; then the tables of
+    its operator and the stage before it are deleted.
+    """
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.table(stage(spark, docs, sf_dir), f"{k}-{name}")
+        with dropped_after():
+            docs = scratch.table(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if last is not None:
+            scratch.drop(last)
+        last = f"{k}-{name}"
     return docs
