@@ -49,8 +49,19 @@ def test_run_and_edges(spark, sf, tables, documents):
 
 
 def test_rows_without_ids_and_repeats(spark, sf, documents):
-    docs = documents([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (None, "quite another text here"), (None, "quite another text here"), (None, None), (3, None), (4, "")])
-    got = cp.keep_one_of_each(spark, docs, sf).collect()
-    assert Counter((r.doc_id, r.text) for r in got) == {(1, "a b c d e f g"): 1, (None, "quite another text here"): 1, (3, None): 1, (4, ""): 1}
+    near = " ".join(f"w{k}" for k in range(60))
+    docs = documents([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (None, "quite another text here"), (None, "quite another text here"), (None, near), (None, near + " x"), (5, "another text with this id"), (5, "one more text with this id"), (None, None), (3, None), (4, "")])
+    got = Counter((r.doc_id, r.text) for r in cp.keep_one_of_each(spark, docs, sf).collect())
+    assert sum(got.pop((None, t), 0) for t in (near, near + " x")) == 1
+    assert got == {(1, "a b c d e f g"): 1, (None, "quite another text here"): 1, (5, "another text with this id"): 1, (5, "one more text with this id"): 1, (None, None): 1, (3, None): 1, (4, ""): 1}
     assert cp.mix_sources(spark, docs, sf).columns == docs.columns
-    assert cp.cut_benchmark(spark, docs, sf).count() == 9 and cp.to_shards(spark, docs, sf).count() == 9
+    assert cp.cut_benchmark(spark, docs, sf).count() == 13 and cp.to_shards(spark, docs, sf).count() == 13
+
+
+def test_clashing_names_in_every_stage(spark, sf, documents):
+    rows = [(k, f"plain text number {k} of some words that differ {k * 7} and more", f"s{k % 3}") for k in range(30)]
+    odd = documents(rows).selectExpr("*", *[f"concat('{c}', doc_id) `{c}`" for c in ("__key", "kept", "spans", "__copies", "__part", "__good", "own0", "copies")])
+    for _, stage in cp.STAGES:
+        got = stage(spark, odd, sf)
+        assert got.columns[: len(odd.columns)] == odd.columns
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got.collect() for c in odd.columns[5:])
