@@ -16,19 +16,27 @@ the number of runs above and below the alphabet's middle, and the serial
 correlation of neighbours.  Their least p-value, times three, must be ``least_fit``
 or more.
 
-Ordinary text.  Let q be the frequencies of these characters in the whole corpus,
-and R the token's likelihood ratio of even draws against draws by q.  Under q, R
-exceeds r with a probability of at most 1 / r (Markov), so 1 / R is a p-value; it
-falls with the token's length.  Benjamini-Hochberg over all tokens of the corpus
-that look random bounds the share of false discoveries by ``rate``.  Frequencies
-and p-values are histograms of fixed size, made by partial aggregation; nothing
-else reaches the driver.
-
-Null texts are empty.  Spans are of code points, their end exclusive.
+False discoveries.  The null hypothesis of a token is that it is ordinary text:
+its characters come by q, their frequencies in the whole corpus.  With R its
+likelihood ratio of even draws against draws by q, R exceeds r with a probability
+of at most 1 / r under the null (Markov), so 1 / R is a p-value, and it falls with
+the token's length.  The p-value of a token that fails the battery is 1, which can
+only raise it, so each tested token, part and piece of a run has one valid p-value
+that holds battery and length.  Benjamini-Hochberg over all of them bounds the
+expected share of false discoveries by ``rate``: tokens are independent under the
+null, and pieces of one run, which may overlap, depend on each other positively.  Frequencies and p-values are histograms of fixed size,
+made by partial aggregation; nothing else reaches the driver.
+
+Spans are of code points, their end exclusive; values are not written anywhere.
+Nulls and empty texts: a null text is empty, a null id is an id like others.  Very
+long texts are read whole, one batch of texts at a time.  Ties: spans of one start
+are in order of kind.  Repeated rows have equal results, and each of their tokens
+counts.  An empty table gives an empty result.  A column named secrets is replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 
@@ -36,8 +44,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._base import Scratch, arrow_map, table, utf8
+from ._base import Own, Scratch, arrow_map, quoted, table, utf8
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -117,36 +126,41 @@ def evidence(token: str, frequency: np.ndarray) -> int:
     return int(min(STEPS - 1, max(0.0, -len(core) * math.log2(size) - np.log2(frequency[codes]).sum())))
 
 
-def parts(run: str, least_fit: float) -> list[tuple[int, int]]:
-    """Where the run has parts that look random: what is between inner equals signs, else pieces between other separators."""
+def parts(run: str, least_fit: float) -> list[tuple[int, int, bool]]:
+    """The parts of the run that are tested, and whether they look random.
+
+    They are what is between inner equals signs, and where that does not look
+    random, pieces between its other separators (but for those that overlap a
+    random one).
+    """
     out = []
     for m in _PART.finditer(run):
         if m.end() - m.start() < LEAST:
             continue
-        if fit(m[0]) >= least_fit:
-            out.append(m.span())
-            continue
+        random = fit(m[0]) >= least_fit
+        out.append((*m.span(), random))
         taken: list[tuple[int, int]] = []
-        for piece in _PIECES:
+        for piece in () if random else _PIECES:
             for n in piece.finditer(run, m.start(), m.end()):
                 a, b = n.span()
-                if (a, b) != m.span() and not any(a < y and x < b for x, y in taken) and fit(n[0]) >= least_fit:
-                    taken.append((a, b))
-        out += sorted(taken)
+                if (a, b) != m.span() and not any(a < y and x < b for x, y in taken):
+                    out.append((a, b, fit(n[0]) >= least_fit))
+                    if out[-1][2]:
+                        taken.append((a, b))
     return out
 
 
 def tokens(text: str, base: list[tuple[int, int, int]], least_fit: float):
-    """(start, end, token) of parts of long runs that look random and overlap no base span."""
-    k, covered = 0, -1
+    """(start, end, looks random) of the tested parts of long runs that overlap no base span."""
+    k, reach, starts = 0, [-1], [s[0] for s in base]
+    for s in base:
+        reach.append(max(reach[-1], s[1]))
     for m in _TOKEN.finditer(text):
-        for a, b in parts(m[0], least_fit):
+        for a, b, random in parts(m[0], least_fit):
             a, b = a + m.start(), b + m.start()
-            while k < len(base) and base[k][0] < b:
-                covered = max(covered, base[k][1])
-                k += 1
-            if covered <= a:
-                yield a, b, text[a:b]
+            k = bisect.bisect_left(starts, b)
+            if reach[k] <= a:
+                yield a, b, random
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
@@ -169,39 +183,47 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     return counts / counts[known].sum()
 
 
-def threshold(histogram: dict[int, int], rate: float) -> int:
-    """The least -log2 p that Benjamini-Hochberg reports; STEPS if none."""
-    total, rank, best = sum(histogram.values()), 0, STEPS
+def threshold(histogram: dict[int, int], tested: int, rate: float) -> int:
+    """The least -log2 p that Benjamini-Hochberg reports of so many tests; STEPS if none."""
+    rank, best = 0, STEPS
     for step in sorted(histogram, reverse=True):
         rank += histogram[step]
-        if 2.0**-step * total <= rate * rank:
+        if step and 2.0**-step * tested <= rate * rank:
             best = step
     return best
 
 
 def find(docs: DataFrame, keep: list[str], text_col: str = "text", rate: float = 0.01, least_fit: float = 0.001) -> DataFrame:
-    """The columns keep of docs, and secrets: an array of (kind, start, end, value) in order of start, then kind."""
-    texts = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
-    frequency = frequencies(texts.select("__text"))
-    span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("evidence", pa.int32())]))
+    """The columns keep of docs (but one named secrets), and secrets: an array of (kind, start, end) in order of start, then kind."""
+    own = Own(docs.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col)).cast("string").alias("__text")), ["secrets"])
+    text = own.name("__text")
+    frequency = frequencies(own.df.select(text))
+    span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("evidence", pa.int32())]))
+    at = own.df.columns.index(text)
+    rest = [c for c in own.df.columns if c != text]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text in batch.column(0).to_pylist():
+        out, tested = [], []
+        for text in batch.column(at).to_pylist():
             text = text or ""
             base = base_spans(text)
-            more = [(a, b, 3, evidence(t, frequency)) for a, b, t in tokens(text, base, least_fit)]
+            tries = list(tokens(text, base, least_fit))
+            more = [(a, b, 3, evidence(text[a:b], frequency)) for a, b, random in tries if random]
             spans = sorted([(*s, None) for s in base] + more, key=lambda s: (s[0], s[2]))
-            out.append([{"kind": k, "start": a, "end": b, "value": text[a:b], "evidence": e} for a, b, k, e in spans])
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, span)], [*keep, "secrets"])
-
-    schema = texts.limit(0).select(*keep, F.lit(None).cast("array<struct<kind:int,start:int,end:int,value:string,evidence:int>>").alias("secrets")).schema
-    found = Scratch(docs.sparkSession, "secrets").table(arrow_map(texts, run, schema), "found")
+            out.append([{"kind": k, "start": a, "end": b, "evidence": e} for a, b, k, e in spans])
+            tested.append(len(tries))
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(out, span), pa.array(tested, pa.int64())], [*rest, "secrets", "tested"])
+
+    new = "secrets array<struct<kind:int,start:int,end:int,evidence:int>>, tested long"
+    schema = T.StructType([*own.df.select(*rest).schema.fields, *T._parse_datatype_string(new).fields])
+    found = Scratch(docs.sparkSession, "secrets").table(arrow_map(own.df, run, schema), "found")
+    tested = found.agg(F.sum("tested")).first()[0] or 0
     steps = found.select(F.explode("secrets").alias("s")).where("s.kind = 3").groupBy("s.evidence").agg(F.count("*").alias("n")).collect()
-    least = threshold({r[0]: r[1] for r in steps}, rate)
+    least = threshold({r[0]: r[1] for r in steps}, tested, rate)
     names = F.array(*[F.lit(k) for k in KINDS])
     kept = F.filter("secrets", lambda s: (s["kind"] < 3) | (s["evidence"] >= least))
-    return found.withColumn("secrets", F.transform(kept, lambda s: F.struct(names[s["kind"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))))
+    secrets = F.transform(kept, lambda s: F.struct(names[s["kind"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return found.select(*[F.col(own.name(c)).alias(c) for c in own.names if own.name(c) != text], secrets.alias("secrets"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
