@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch, dropped_after, shared_dir
 
-__all__ = ["Own", "Scratch", "arrow_map", "content", "dropped_after", "partitions", "quoted", "shared_dir", "sliced", "table", "utf8"]
+__all__ = ["Own", "Scratch", "arrow_map", "content", "dropped_after", "partitions", "quoted", "shared_dir", "sliced", "table", "utf8", "with_hot"]
 
 #: Rows and bytes of a batch that Python works on at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -90,3 +90,14 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_hot(rows: DataFrame, facts: DataFrame, key: str, *by: str) -> DataFrame:
+    """Rows with the facts of their key (one row a key), of which one may hold a third of all rows.
+
+    Facts go to up to 32 salted copies, of which a row meets one; by tells rows
+    of a key apart.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(32)))
+    spread = salted.select(key, "__salt").distinct().join(facts, key)
+    return salted.join(spread, [key, "__salt"]).drop("__salt")

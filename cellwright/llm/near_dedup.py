@@ -60,7 +60,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import Own, Scratch, arrow_map, quoted, table, utf8
+from ._base import Own, Scratch, arrow_map, quoted, table, utf8, with_hot
 
 PERMS, MAX_ERRORS = 64, 23
 _MASK = (1 << 64) - 1
@@ -200,13 +200,6 @@ def _with_both(pairs: DataFrame, nodes: DataFrame, payload: list[str]) -> DataFr
     return salted.join(ends("a"), "a").join(right, ["b", "salt"]).drop("salt")
 
 
-def _with_hot(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
-    """Rows with the facts of their key, one of which may hold a third of all rows; by tells rows apart."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(32)))
-    spread = salted.select(key, "salt").distinct().join(facts, key)
-    return salted.join(spread, [key, "salt"]).drop("salt")
-
-
 class Bitmap:
     """Which evenly spread 64-bit values may occur: a bit each, of at most 2 ** most_bits."""
 
@@ -267,7 +260,7 @@ def _left_over(tested: DataFrame, labels: DataFrame, sets: DataFrame, scratch: S
     groups = named.groupBy("b").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("w").alias("least"), F.min(F.when(~F.col("linked"), F.col("w"))).alias("least_apart"))
     groups = groups.where("x <> y and least_apart is not null").select("b", "least", "least_apart")
     lower = F.col("w") + F.when(F.col("linked"), F.col("least_apart")).otherwise(F.col("least"))
-    live = _with_hot(named, groups, "b", "a").where(lower <= unit * (F.col("n_a") + F.col("n_b") - 2 * F.col("both"))).select("a", "b", "label", "linked", "n_b", "w")
+    live = with_hot(named, groups, "b", "a").where(lower <= unit * (F.col("n_a") + F.col("n_b") - 2 * F.col("both"))).select("a", "b", "label", "linked", "n_b", "w")
     live = scratch.table(live, "live")
     both = _with_both(live, sets, ["set"])
     items = F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a"))
@@ -282,7 +275,7 @@ def _left_over(tested: DataFrame, labels: DataFrame, sets: DataFrame, scratch: S
     steps = steps.groupBy("b").agg(F.collect_list(F.struct("slack", "any", "apart")).alias("steps"))
     covers = F.filter("steps", lambda x: x["slack"] >= F.floor(F.col("w") / step))
     partner = F.when(F.col("linked"), F.array_min(F.transform(covers, lambda x: x["apart"]))).otherwise(F.array_min(F.transform(covers, lambda x: x["any"])))
-    ranked = _with_hot(ranked, scratch.table(steps, "steps"), "b", "a").withColumn("partner", partner).where("partner is not null")
+    ranked = with_hot(ranked, scratch.table(steps, "steps"), "b", "a").withColumn("partner", partner).where("partner is not null")
     # Of the differences shared with anyone, rarest first, this many hold one that a linked pair shares.
     take = F.col("some") - F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("partner")) / unit - 1e-9)) + 1
     ranked = ranked.withColumn("take", take.cast("int")).where("take > 0")
@@ -373,7 +366,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     linked = scratch.table(nodes.select("rep", "digest", "best").join(labels.withColumnRenamed("id", "rep"), "rep", "left"), "linked")
     some = linked.where("label is not null")
     names = scratch.table(some.groupBy("label").agg(F.min("best").alias("name")), "names")
-    named = _with_hot(some, names, "label", "rep").select("digest", F.col("name").alias("best"))
+    named = with_hot(some, names, "label", "rep").select("digest", F.col("name").alias("best"))
     named = named.union(linked.where("label is null").select("digest", "best"))
     named = scratch.table(named, "named-classes")
     scratch.drop("nodes", "pairs", "wanted", "sets", "tested", "named", "live", "differences", "ranked", "steps", "prefixes", "linked", "names")
