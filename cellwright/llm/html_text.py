@@ -26,8 +26,14 @@ parts that stay; text within a list of links stays if a block of it is not
 mostly links.
 
 Character references are decoded, white space within a block becomes one space,
-blocks are trimmed and joined by line feeds, empty ones left out.  A null or
-empty page has an empty text.  Nothing is cut by length.
+blocks are trimmed and joined by line feeds, empty ones left out.  Nothing is cut
+by length.
+
+Nulls and empty pages have an empty text; null ids and urls play no part.  Very
+long and malformed pages are parsed whole, in time that grows with their length.
+Ties: of subtrees of equal density sums the first in page order is chosen.  Equal
+pages have equal texts.  An empty table gives an empty result.  A column named
+like the new one is replaced; all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,8 +45,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._base import arrow_map, table
+from ._base import Own, arrow_map, quoted, table
 
 # Element names of HTML, and words that mark parts other than the article.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
@@ -80,12 +87,36 @@ class Node:
             parent.children.append(self)
 
 
-def _cut(name: str, attributes: str, stack: list[Node]) -> int:
+class _Open:
+    """The open elements, with the places of each name and of what is not inline, so that none has to be searched for."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        if node.name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, at: int) -> None:
+        """Close the element at this place and all in it."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop().name].pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost open element of these names; 0 if there is none."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+
+def _cut(name: str, attributes: str, inside: _Open) -> int:
     """Whether the element is no part of an article: 0 it may be, NAMED a word of its class or id says so, TITLED all of one, CUT_OFF it is none."""
     if name in CUT:
         return CUT_OFF
     if name == "header":
-        return 0 if any(n.name in REGIONS for n in stack) else CUT_OFF
+        return 0 if inside.last(*REGIONS) else CUT_OFF
     if not attributes or name in SAFE:
         return 0
     cut = 0
@@ -100,15 +131,18 @@ def _cut(name: str, attributes: str, stack: list[Node]) -> int:
 
 
 def parse(page: str) -> Node:
-    """The tree of the page's parts that may be article."""
+    """The tree of the page's parts that may be article, in time that grows with the page's length."""
     root = Node("html", None)
-    stack = [root]
+    opened = _Open(root)
+    stack = opened.stack
     off: list[Node] = []  # parts that are cut; tags within them close elements like others
-    at, size = 0, len(page)
+    at, size, last = 0, len(page), page.rfind(">")
     while at < size:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else size]
-        if text:
+        # Behind the last ">" no tag ends any more; only a comment may still begin.
+        m = _TAG.search(page, at) if at <= last else None
+        stop = m.start() if m else page.find("<!--", at) if "<!--" in page[at:] else size
+        if stop > at:
+            text = page[at:stop]
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
@@ -117,42 +151,28 @@ def parse(page: str) -> Node:
         if not name:
             continue
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
+            if k := opened.last(name):
+                opened.close(k)
             continue
         attributes = m[3] or m[6] or ""
         if name in RAW:
-            end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            end = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
+            close = page.find(">", end.end()) if end else -1
+            at = close + 1 if close >= 0 else size
             continue
-        if name == "body":
-            for k in range(1, len(stack)):
-                if stack[k].name == "head":
-                    del stack[k:]
-                    break
-        if name in ("html", "body") and any(n.name == name for n in stack):
+        if name == "body" and opened.last("head"):
+            opened.close(opened.places["head"][0])
+        if name == "html" or name == "body" and opened.last(name):
             continue
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    del stack[k:]
-                    break
-                if stack[k].name not in INLINE:
-                    break
-        if name in SCOPE:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in PEERS[name]:
-                    del stack[k:]
-                    break
-                if stack[k].name in SCOPE[name]:
-                    break
+        if name in CLOSES_P and stack[opened.blocks[-1]].name == "p":
+            opened.close(opened.blocks[-1])
+        if name in SCOPE and (k := opened.last(*PEERS[name])) > opened.last(*SCOPE[name]):
+            opened.close(k)
         if name in VOID:
             Node(name, stack[-1])
         else:
-            cut = _cut(name, attributes, stack)
-            stack.append(Node(name, stack[-1]))
+            cut = _cut(name, attributes, opened)
+            opened.push(Node(name, stack[-1]))
             stack[-1].cut = cut
             if cut == CUT_OFF:
                 off.append(stack[-1])
@@ -354,16 +374,20 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
-    """pages with the main text of each in column out (replaced if there)."""
-    if out != html_col:
-        pages = pages.drop(out)
-    at = pages.columns.index(html_col)
+    """pages with the main text of each in column out."""
+    own = Own(pages.withColumn(out, F.col(quoted(html_col))) if out.lower() == html_col.lower() else pages, [] if out.lower() == html_col.lower() else [out])
+    source = own.name(html_col)
+    df = own.df.withColumn("__html", F.col(source).cast("string"))
+    left = [c for c in df.columns if c != "__html" and not (out.lower() == html_col.lower() and c == source)]
+    at = df.columns.index("__html")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = pa.array([main_text(p) for p in batch.column(at).to_pylist()], pa.string())
-        return pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, out])
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in left], texts], [*left, "__text"])
 
-    return arrow_map(pages, run, pages.limit(0).select("*", F.lit("").cast("string").alias(out)).schema)
+    schema = T.StructType([*df.select(*left).schema.fields, T.StructField("__text", T.StringType())])
+    got = arrow_map(df, run, schema)
+    return got.select(*[F.col(own.name(c)).alias(c) for c in own.names if own.name(c) in left], F.col("__text").alias(out))
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import time
+
+from cellwright.llm import html_text as ht
 from cellwright.llm.html_text import extract, main_text, op2_main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head>
@@ -89,3 +92,30 @@ def test_query(spark, sf):
     rows = op2_main_text(spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
     assert all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_time_grows_with_the_page():
+    """Malformed pages that a search through all open elements, or to the end of the page, makes quadratic."""
+    made = [
+        lambda n: "<div>" * n + "</b>" * n,
+        lambda n: '<a "' * n,
+        lambda n: "<a " * n,
+        lambda n: "<table><tr><td><table>" + "<div>" * n + "<td></td>" * n,
+        lambda n: "<b>" * n + "<hr>" * n,
+        lambda n: "<script>x</script " * n,
+    ]
+    for page in made:
+        begin = time.perf_counter()
+        ht.main_text(page(30_000))
+        assert time.perf_counter() - begin < 15
+    assert ht.main_text("<p>one two</p>" + '<a "' * 50_000).startswith("one two")
+
+
+def test_extra_columns_nulls_and_repeats(spark):
+    rows = [(1, "u", "<p>one</p>", "t", "h"), (1, "u", "<p>one</p>", "t", "h"), (None, None, None, None, None), (2, "u", "", "t", "h"), (3, "u", "<p>" + "long " * 500_000, "t", "h")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, Text string, __html string")
+    got = ht.extract(pages)
+    assert got.columns == ["page_id", "url", "html", "__html", "text"]
+    assert sorted((r.page_id or 0, len(r.text), r["__html"]) for r in got.collect()) == [(0, 0, None), (1, 3, "h"), (1, 3, "h"), (2, 0, "h"), (3, 2_499_999, "h")]
+    assert ht.extract(pages, out="html").columns == ["page_id", "url", "Text", "__html", "html"]
+    assert ht.extract(pages.limit(0)).count() == 0
