@@ -1,37 +1,44 @@
 """WARC archives through Spark's own text files, and a chunked record table.
 
-Writing.  A payload is cut into chunks of at most ``chunk`` code points: the
+Writing.  Every payload is cut into chunks of at most ``chunk`` code points: the
 first is a ``response`` (or ``revisit``) record, the others are standard
 ``continuation`` records that name it (WARC-Segment-Origin-ID,
 WARC-Segment-Number, WARC-Segment-Total-Length).  Ids are <urn:page:ID:CHUNK>,
 with a random mark after the chunk number where there are several chunks, so
-that repeated rows keep apart; a revisit names its page without the mark.  Each record carries the digest
-of its own block, and each first record the digest of the whole payload.
-Spark's text writer puts the records into files: it commits tasks, retries
-them and writes to any file system.
+that repeated rows keep apart; a revisit names its page without the mark.  Each
+record carries the digest of its own block, and each first record the digest of
+the whole payload, which grows chunk by chunk.  A worker streams the chunks: it
+holds a payload as its row gives it, and one chunk besides.  Spark's text writer
+puts the records into files: it commits tasks, retries them and writes to any file
+system.  The chunks of a payload follow each other in one file.
 
 Reading.  Files are split at the line ``WARC/1.1``, so a task holds one record
 at a time, however long the file.  A payload that has this text inside is cut
 there on writing, so no record contains it.  The result is the chunk table
 (record_id, chunk_no, content, ...).  ``payloads`` streams the chunks of a
-record in order, feeds them to an incremental digest, and returns a row per
-record, without ever joining the chunks in memory.
+task's files in order, feeds each to its record's incremental digest, and returns
+a row per record: nothing is shuffled, and no payload is put together again.
 
 Records of equal payloads of ``least`` bytes or more are written once: the one
-with the largest id is the response, the others revisit it.  Null payloads are
-empty; rows with a null id are responses, their id stays null, and they are
-never revisited.  Repeated rows of the largest id are all responses.
+with the largest id is the response, the others revisit it.
+
+Nulls and empty texts: null payloads are empty; rows with a null id are responses,
+their id stays null, and they are never revisited; a null url gives no header.
+Very long payloads become many chunks.  Ties and repeats: repeated rows of the
+largest id are all responses.  An empty table gives an empty archive and no rows.
+Other columns of the pages are not archived, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import Scratch, partitions, table
+from ._base import Scratch, arrow_map, sliced, table
 
 VERSION = "WARC/1.1"
 _LINE = "\r\n"
@@ -55,23 +62,59 @@ def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least
     return got.select("page_id", "url", "payload", "payload_bytes", "digest", "refers_to")
 
 
-def _chunks(payload: Column, chunk: int) -> Column:
-    """The payload's chunks: at most so many code points each, none with the version text.
+def cuts(payload: str, chunk: int) -> list[tuple[int, int]]:
+    """Where the payload's chunks are: at most so many code points each, none with the version text.
 
     The version text is cut in two wherever it occurs, so neither a chunk nor
     what stands around it on writing looks like a record's first line.
     """
-    pieces = F.when(F.contains(payload, F.lit(VERSION)), F.split(payload, r"(?<=WAR)(?=C/1\.1)", -1)).otherwise(F.array(payload))
-    cut = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(p) - 1) / chunk)).cast("int")), lambda k: F.substring(p, k * chunk + 1, F.lit(chunk)))
-    return F.flatten(F.transform(pieces, cut))
-
-
-def write(rows: DataFrame, path: str, chunk: int = 1 << 20) -> None:
+    ends, at = [], payload.find(VERSION)
+    while at >= 0:
+        ends.append(at + 3)
+        at = payload.find(VERSION, at + 3)
+    out, begin = [], 0
+    for end in [*ends, len(payload)]:
+        out += [(a, min(a + chunk, end)) for a in range(begin, end, chunk)]
+        begin = end
+    return out or [(0, 0)]
+
+
+_CUT = "page_id long, url string, payload_bytes long, digest string, refers_to long, mark string, count int, k int, content string"
+
+
+def _streamed(rows: DataFrame, chunk: int) -> DataFrame:
+    """The chunks of the rows: one of no content for a revisit."""
+    names = [f.split()[0] for f in _CUT.split(", ")]
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()], strict=True)))
+
+    def run(batch: pa.RecordBatch):
+        held, size = [], 0
+        for k in range(batch.num_rows):
+            row = {name: batch.column(name)[k].as_py() for name in names[:5]}
+            payload = "" if row["refers_to"] is not None else batch.column("payload")[k].as_py()
+            places = cuts(payload, chunk)
+            if row["refers_to"] is None:
+                sha = hashlib.sha1()
+                for a, b in places:
+                    sha.update(payload[a:b].encode())
+                row["digest"] = sha.hexdigest()
+            row |= {"count": len(places), "mark": f":{uuid.uuid4()}" if len(places) > 1 else ""}
+            for n, (a, b) in enumerate(places):
+                held.append(row | {"k": n, "content": payload[a:b]})
+                size += b - a
+                if size >= 4 * chunk or len(held) >= 1000:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    return arrow_map(rows, run, _CUT)
+
+
+def write(rows: DataFrame, path: str, chunk: int = 1 << 16) -> None:
     """Write the records as gzip-compressed WARC files below path."""
     one = F.col("refers_to").isNotNull()
-    rows = rows.withColumn("parts", F.when(one, F.array(F.lit(""))).otherwise(_chunks(F.col("payload"), chunk)))
-    rows = rows.withColumn("mark", F.when(F.size("parts") > 1, F.concat(F.lit(":"), F.expr("uuid()"))).otherwise(""))
-    cut = rows.select("*", F.size("parts").alias("count"), F.posexplode("parts").alias("k", "content")).drop("parts", "payload")
+    cut = _streamed(rows, chunk)
     id_text = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     record_id = lambda k: F.concat(F.lit("<urn:page:"), id_text, F.lit(":"), k.cast("string"), F.col("mark"), F.lit(">"))
     many = F.col("count") > 1
@@ -129,39 +172,40 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def payloads(chunks: DataFrame) -> DataFrame:
     """A row per record: its first chunk's fields, bytes and digest of its content, valid.
 
-    Records of one chunk are digested where they are.  The chunks of longer ones
-    meet sorted in one task each record, which holds one chunk at a time.
+    chunks: as ``read`` gives them, those of a record one after the other.  A
+    chunk that is missing or out of place makes its record invalid.
     """
     keep = ["record_id", "type", "url", "payload_digest", "payload_bytes", "refers_to"]
-    alone = (F.col("chunk_no") == 0) & F.coalesce(F.octet_length("content") == F.col("payload_bytes"), F.lit(True))
-    alone = alone | (F.col("type") == "revisit")
-    short = chunks.where(alone).select(*keep, F.octet_length("content").cast("long").alias("bytes"), F.sha1(_bytes(F.col("content"))).alias("sha1"), "valid")
-    long = chunks.where(~alone).select(*keep, "chunk_no", F.col("content").alias("content"), "valid")
-    long = long.repartition(partitions(chunks.sparkSession), "record_id").sortWithinPartitions("record_id", "chunk_no")
+    schema = pa.schema([(c, pa.int64() if c == "payload_bytes" else pa.string()) for c in keep] + [("bytes", pa.int64()), ("sha1", pa.string()), ("valid", pa.bool_())])
 
     def run(batches):
-        first, sha, size, valid, next_no = None, None, 0, True, 0
+        first, sha, size, valid, next_no, out = None, None, 0, True, 0, []
 
         def done():
-            row = {**first, "bytes": size, "sha1": sha.hexdigest(), "valid": valid}
-            return pa.RecordBatch.from_pylist([row], schema=schema)
-
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                content, no, ok = row.pop("content"), row.pop("chunk_no"), row.pop("valid")
-                if first is None or first["record_id"] != row["record_id"]:
+            whole = valid and (first["type"] == "revisit" or size == first["payload_bytes"])
+            out.append({**first, "bytes": size, "sha1": sha.hexdigest(), "valid": whole})
+
+        for batch in (part for whole in batches for part in sliced(whole)):
+            columns = [batch.column(c).to_pylist() for c in keep]
+            numbers, right = batch.column("chunk_no").to_pylist(), batch.column("valid").to_pylist()
+            content = batch.column("content").cast(pa.binary())
+            for k, row in enumerate(zip(*columns, strict=True)):
+                if first is None or numbers[k] == 0 or first["record_id"] != row[0]:
                     if first is not None:
-                        yield done()
-                    first, sha, size, valid, next_no = row, hashlib.sha1(), 0, True, 0
-                data = content.encode()
+                        done()
+                    first, sha, size, valid, next_no = dict(zip(keep, row, strict=True)), hashlib.sha1(), 0, True, 0
+                data = content[k].as_buffer()
                 sha.update(data)
-                size, valid, next_no = size + len(data), valid and ok and no == next_no, no + 1
+                size, valid, next_no = size + data.size, valid and right[k] and numbers[k] == next_no, next_no + 1
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out.clear()
         if first is not None:
-            yield done()
+            done()
+            yield pa.RecordBatch.from_pylist(out, schema)
 
-    schema = pa.schema([(c, pa.int64() if c == "payload_bytes" else pa.string()) for c in keep] + [("bytes", pa.int64()), ("sha1", pa.string()), ("valid", pa.bool_())])
-    return short.unionByName(long.mapInArrow(run, short.schema))
+    spark_schema = "record_id string, type string, url string, payload_digest string, payload_bytes long, refers_to string, bytes long, sha1 string, valid boolean"
+    return chunks.select(*keep, "chunk_no", "content", "valid").mapInArrow(run, spark_schema)
 
 
 def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,16 @@ def test_chunks_round_trip(spark, tmp_path, hard):
     assert len(texts) <= len(expected) and set(texts) == set(expected)
     whole = warc.payloads(chunks).where("type = 'response'").collect()
     assert all(r.valid and r.sha1 == r.payload_digest and r.bytes == r.payload_bytes for r in whole)
+
+
+def test_long_payload_in_chunks(spark, tmp_path):
+    long = "0123456789abcdé\r\n" * 1_000_000
+    pages = spark.createDataFrame([(1, "u", long, "x"), (2, None, long, "x"), (3, "v", "short", "x")], "page_id long, url string, html string, content string")
+    warc.write(warc.records(pages, "page_id", "url", "html", 1000), str(tmp_path / "w"))
+    chunks = warc.read(spark, str(tmp_path / "w"))
+    sizes = sorted((r.chunk_no, r.n) for r in chunks.selectExpr("chunk_no", "length(content) n", "type").where("type <> 'revisit'").collect())
+    assert max(n for _, n in sizes) == 1 << 16 and sum(n for _, n in sizes) == len(long) + 5
+    got = {r.type: r for r in warc.payloads(chunks).where("payload_bytes > 5").collect()}
+    assert got["response"].valid and got["response"].sha1 == hashlib.sha1(long.encode()).hexdigest() == got["revisit"].payload_digest
+    broken = warc.payloads(chunks.where("chunk_no <> 7").coalesce(1)).where("type = 'response' and payload_bytes > 5").first()
+    assert not broken.valid
