@@ -1,8 +1,9 @@
 """Writers of the count matrices, feature tables and model results.
 
-Rows are written by Spark: sorted over partitions, then gathered to one text
-file part where the format needs one file.  Header lines come first by their
-place in the sort, so no file is touched twice.
+Rows are written by Spark, sorted over partitions: the parts of a folder, in
+order of their names, are the file, and gzip parts may be put one after the other
+as they are.  Header lines come first by their place in the sort, so no file is
+touched twice.  ``single`` gathers a file to one part, in one task.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import format_significant
 
 
-def text_file(lines: DataFrame, path: str, order: list[str], header: list[str] | None = None, compress: bool = True) -> None:
-    """Write column ``line`` in the given order as one text file (a folder with one part)."""
+def text_file(lines: DataFrame, path: str, order: list[str], header: list[str] | None = None, compress: bool = True, single: bool = False) -> None:
+    """Write column ``line`` in the given order as a text file (a folder of ordered parts; one if single)."""
     lines = lines.select(F.lit(1).alias("__h"), *[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)], "line")
     if header:
         types = dict(lines.dtypes)
@@ -22,7 +23,7 @@ def text_file(lines: DataFrame, path: str, order: list[str], header: list[str] |
         top = top.select(F.lit(0).alias("__h"), *[F.when(F.lit(k == 0), F.col("k")).cast(types[f"__o{k}"]).alias(f"__o{k}") if k == 0 and types[f"__o{k}"] != "string" else F.when(F.lit(k == 0), F.lpad(F.col("k").cast("string"), 4, "0")).cast(types[f"__o{k}"]).alias(f"__o{k}") for k in range(len(order))], "line")
         lines = top.unionByName(lines)
     ordered = lines.orderBy("__h", *[f"__o{k}" for k in range(len(order))]).select("line")
-    ordered.coalesce(1).write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
+    (ordered.coalesce(1) if single else ordered).write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
 
 
 def table(df: DataFrame, path: str, columns: list[Column | str], order: list[str], header: list[str] | None = None, compress: bool = True) -> None:

@@ -132,10 +132,11 @@ def read_list(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
 def read_matrix(spark: SparkSession, path: str, header: bool = True, sep: str = "\t") -> tuple[list[str], DataFrame]:
     """A matrix of numbers with row names: column names and rows (name, values array<double>).
 
-    A row with another number of values than the first one is an error.
+    A row with another number of values than the first one is an error.  Of a
+    folder of parts the first line is that of the first part that has lines.
     """
     lines = spark.read.text(path).where("value <> ''")
-    first = lines.first()
+    first = next((r for r in (spark.read.text(p).where("value <> ''").first() for p in sorted(lines.inputFiles())) if r), None)
     cells = first[0].split(sep) if first else []
     width = len(cells) - 1
     names = cells[1:] if header else [f"c{k}" for k in range(width)]

@@ -12,8 +12,8 @@ from cellwright.streaming import molecules as stream
 
 
 def lines(path):
-    part = next(iter(sorted(path.glob("part-*"))))
-    return (gzip.open(part, "rt") if part.suffix == ".gz" else open(part)).read().splitlines()
+    parts = sorted(path.glob("part-*"))
+    return [line for p in parts for line in (gzip.open(p, "rt") if p.suffix == ".gz" else open(p)).read().splitlines()]
 
 
 @pytest.fixture(scope="module")

@@ -132,8 +132,7 @@ def test_bed_lists_and_matrices(spark, tmp_path):
 
 def read_text(path):
     files = sorted(path.glob("part-*"))
-    assert len(files) == 1
-    return (gzip.open(files[0], "rt") if files[0].suffix == ".gz" else open(files[0])).read().splitlines()
+    return [line for f in files for line in (gzip.open(f, "rt") if f.suffix == ".gz" else open(f)).read().splitlines()]
 
 
 def test_matrix_and_tables(spark, tmp_path):
@@ -145,3 +144,24 @@ def test_matrix_and_tables(spark, tmp_path):
     rows = spark.createDataFrame([("b", [0.5, float("nan")]), ("a", [1e-9, 3.0])], "name string, v array<double>")
     sinks.dense(rows, str(tmp_path / "d.txt.gz"), "name", "v", ["\tx\ty"])
     assert read_text(tmp_path / "d.txt.gz") == ["\tx\ty", "a\t1e-09\t3", "b\t0.5\tNA"]
+
+
+def test_matrix_in_parts(spark, tmp_path):
+    """Parts in order of their names are the file, header first; a single part is an option."""
+    df = spark.range(4000).selectExpr("id % 40 AS r", "id div 40 AS c", "id AS n").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.matrix(df, str(tmp_path / "m.mtx.gz"), "r", "c", "n", 40, 100)
+        lines = df.selectExpr("r", "c", "concat_ws(' ', r, c, n) AS line")
+        sinks.text_file(lines, str(tmp_path / "one.txt"), ["c", "r"], compress=False, single=True)
+        rows = df.selectExpr("format_string('%04d', n) AS name", "array(double(r), double(c)) AS v")
+        sinks.dense(rows, str(tmp_path / "d.txt.gz"), "name", "v", ["\tx\ty"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "m.mtx.gz").glob("part-*"))) > 1
+    expected = [f"{n % 40 + 1} {n // 40 + 1} {n}" for n in range(4000)]
+    assert read_text(tmp_path / "m.mtx.gz") == ["%%MatrixMarket matrix coordinate integer general", "%", "40 100 4000", *expected]
+    assert len(list((tmp_path / "one.txt").glob("part-*"))) == 1
+    assert read_text(tmp_path / "one.txt") == [f"{n % 40} {n // 40} {n}" for n in range(4000)]
+    names, back = text.read_matrix(spark, str(tmp_path / "d.txt.gz"))
+    assert names == ["x", "y"] and back.count() == 4000
