@@ -57,19 +57,29 @@ def overlap_filter(left: DataFrame, right: DataFrame, keep: bool, longest: int =
     """The left rows that overlap some right interval (keep), or none.
 
     A left interval of at most ``longest`` bases is known by the bin of its start:
-    the right side covers the bins of all starts that can reach it.  So the left
-    rows are neither exploded nor numbered, and a semi or anti join does.  Longer
-    ones meet the right side by contig.
+    the right side covers the bins of all starts that can reach it.  Longer ones
+    are known by wider bins in the same way, 16 times the width at each level, up
+    to the length of any 32-bit interval; a longer one is an error.  So the left
+    rows are neither exploded nor numbered, and one semi or anti join on contig,
+    level and bin does.
     """
-    how = "left_semi" if keep else "left_anti"
     a1, a2, b1, b2 = F.col(start), F.col(end), F.col("__b1"), F.col("__b2")
+    widths = [longest]
+    while widths[-1] < 1 << 32:
+        widths.append(widths[-1] * 16)
     right = right.select(F.col(chrom).alias("__chrom"), F.col(start).alias("__b1"), F.col(end).alias("__b2")).where(b2 > b1)
-    binned = right.withColumn("__bin", F.explode(F.sequence(_div(b1 - longest, longest), _div(b2 - 1, longest))))
+    numbered = lambda k: lambda b: F.struct(F.lit(k).alias("level"), b.alias("bin"))
+    bins = [F.transform(F.sequence(_div(b1 - w, w), _div(b2 - 1, w)), numbered(k)) for k, w in enumerate(widths)]
+    binned = right.withColumn("__at", F.explode(F.concat(*bins)))
+    level = place = None
+    for k, w in enumerate(widths):
+        fits = a2 - a1 <= w
+        level = F.when(fits, F.lit(k)) if k == 0 else level.when(fits, F.lit(k))
+        place = F.when(fits, _div(a1, w)) if k == 0 else place.when(fits, _div(a1, w))
+    too_long = F.when(a2 - a1 > widths[-1], F.raise_error(F.lit("an interval is longer than 32-bit coordinates allow")).cast("int"))
     meets = (F.col(chrom) == F.col("__chrom")) & (a1 < b2) & (b1 < a2) & (a2 > a1)
-    short = F.coalesce(a2 - a1 <= longest, F.lit(True))
-    near = left.where(short).join(binned, meets & (_div(a1, longest) == F.col("__bin")), how)
-    far = left.where(~short).join(right, meets, how)
-    return near.unionByName(far)
+    on = meets & (level.otherwise(too_long) == F.col("__at.level")) & (place == F.col("__at.bin"))
+    return left.join(binned, on, "left_semi" if keep else "left_anti")
 
 
 def point_join(points: DataFrame, right: DataFrame, at: str, width: int = WIDTH, chrom: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
@@ -93,10 +103,48 @@ def cut_site_peaks(fragments: DataFrame, peaks: DataFrame, parity: bool = True,
     return got.withColumn("r_end", F.col("r_end") + 1) if parity else got
 
 
-def merge_touching(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Unions of overlapping or touching intervals within each key, with the number merged (n)."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("__new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)))
-    island = F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.withColumn("__island", island).groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__island")
+def merge_touching(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int | None = None) -> DataFrame:
+    """Unions of overlapping or touching intervals within each key, with the number merged (n).
+
+    Rows without start or end are left out.  Without width a key's rows are one
+    task: right for keys with few rows each, as transcripts.  With width, for keys
+    as contigs, a task gets the rows of a key that start in one bin of so many
+    bases; how far the bins before reach, and where their last union begins,
+    come from a running maximum over one row a bin.
+    """
+    df = df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    if width is None:
+        order = Window.partitionBy(*keys).orderBy(start, end)
+        reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        marked = df.withColumn("__first", F.when(reach.isNull() | (F.col(start) > reach), F.col(start)))
+        return _unions(marked.withColumn("__first", F.max("__first").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))), keys, start, end)
+    binned = df.withColumn("__bin", _div(F.col(start), width))
+    in_bin = Window.partitionBy(*keys, "__bin").orderBy(start, end)
+    before = in_bin.rowsBetween(Window.unboundedPreceding, -1)
+    ends = _carried(binned.groupBy(*keys, "__bin").agg(F.max(end).alias("__end")), keys, "__end", "__reach")
+    reach = F.greatest(F.col("__reach"), F.max(end).over(before))
+    marked = _by_bin(binned, ends, keys).withColumn("__first", F.when(reach.isNull() | (F.col(start) > reach), F.col(start)))
+    firsts = _carried(marked.groupBy(*keys, "__bin").agg(F.max("__first").alias("__last")), keys, "__last", "__open")
+    own = F.max("__first").over(in_bin.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return _unions(_by_bin(marked.withColumn("__own", own), firsts, keys).withColumn("__first", F.coalesce("__own", "__open")), keys, start, end)
+
+
+def _carried(bins: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """For each bin of a key the largest value of the bins before it."""
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    return bins.select(*keys, "__bin", F.max(value).over(earlier).alias(name))
+
+
+def _by_bin(df: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of its bin; null keys are equal."""
+    names = [*keys, "__bin"]
+    bins = bins.withColumnsRenamed({c: f"__r{k}" for k, c in enumerate(names)})
+    on = F.lit(True)
+    for k, c in enumerate(names):
+        on = on & F.col(c).eqNullSafe(F.col(f"__r{k}"))
+    return df.join(bins, on).drop(*[f"__r{k}" for k in range(len(names))])
+
+
+def _unions(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """A row for each start of a union (column __first)."""
+    return df.groupBy(*keys, "__first").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__first")

@@ -1,5 +1,7 @@
 """Hand fixtures of single operators."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -211,3 +213,23 @@ def test_pi_amb_is_found():
     n = np.stack([rng.binomial(500, 1 - x), rng.binomial(500, x)], 1).ravel()
     pi, pool = ambient.fit_pi_amb(vix, allele, np.full(800, 0.001), n, gamma)
     assert pi == pytest.approx(truth, abs=0.03) and len(pool) == 400
+
+
+@pytest.mark.parametrize("width", [1, 7, 64, 10_000])
+def test_merge_by_bins_equals_merge_by_keys(spark, width):
+    """Unions over bin borders, touching, nested, empty and repeated intervals; a null key is a key; negative starts."""
+    rng = random.Random(width)
+    rows = [(rng.choice(["a", "b", None]), s, s + rng.choice([0, 1, 3, 20, 150])) for s in (rng.randrange(-200, 900) for _ in range(160))]
+    rows += [("c", -5, 700), ("c", 0, 1), ("c", 700, 710), ("c", 711, 712), ("d", None, 4), ("d", 3, None)]
+    df = spark.createDataFrame(rows, "chrom string, start int, end int")
+    expected = []
+    for key in {r[0] for r in rows}:
+        open_ = None
+        for _, s, e in sorted(r for r in rows if r[0] == key and None not in r[1:]):
+            if open_ and s <= open_[2]:
+                open_[2], open_[3] = max(open_[2], e), open_[3] + 1
+            else:
+                open_ = [key, s, e, 1]
+                expected.append(open_)
+    for got in (intervals.merge_touching(df, ["chrom"], width=width), intervals.merge_touching(df, ["chrom"])):
+        assert sorted(map(list, got.collect()), key=str) == sorted(expected, key=str)
