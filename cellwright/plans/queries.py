@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import counts, dedup, genotypes, intervals, reads
+from ..operators import counts, dedup, genotypes, intervals, reads, splice
 from ..operators.dictionary import dense_index, union_in_order
 from ..operators.model import ambient, decide, em, likelihood
 from . import analog as A
@@ -71,6 +71,98 @@ def whitelist_union_barcodes(spark: SparkSession, sf: str) -> DataFrame:
     return union_in_order(listed, A.reads(spark, sf).where("splice = 2"), "bc", "place")
 
 
+# Reads: CIGAR, bases at variants, splice classes, molecules and fragments
+
+
+@query(f"WITH {A.BLOCKS} SELECT o, l, p, s, op, CAST(len AS INTEGER) AS len, CAST(ref AS INTEGER) AS ref, CAST(query AS INTEGER) AS query FROM blocks")
+def cigar_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each CIGAR operation of each read starts in reference and query."""
+    got = A.aligned(spark, sf).select(*A.READ_KEY, F.explode(reads.blocks(F.col("cigar"), F.col("pos"))).alias("b"))
+    return got.select(*A.READ_KEY, "b.*")
+
+
+@query(f"""WITH {A.BLOCKS} SELECT o, l, p, s, CAST(pos AS INTEGER) AS pos, CAST(pos + sum(r) AS INTEGER) AS "end" FROM blocks GROUP BY o, l, p, s, pos
+HAVING (s % 3 = 1 AND pos + sum(r) >= 200 AND pos < 4000) OR s % 3 = 2""")
+def region_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads that overlap a region string."""
+    return reads.in_regions(reads.with_end(A.aligned(spark, sf)), "1:200-4_000,2").select(*A.READ_KEY, "pos", "end")
+
+
+@query(f"""WITH {A.BLOCKS}, sites AS (SELECT DISTINCT p_size % 3 AS chrom, p_partkey * 3 AS site FROM part)
+SELECT o, l, p, s, site, substr(repeat('ACGTN', 30), CAST(1 + p % 5 + query + site - ref AS BIGINT), 1) AS base,
+CAST(CASE WHEN discount > 0 THEN ((query + site - ref) * 7 + s) % 42 ELSE 255 END AS INTEGER) AS qual
+FROM blocks b JOIN sites v ON b.s % 3 = v.chrom AND site >= ref AND site < ref + len WHERE op IN ('M', '=', 'X')""")
+def bases_at_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """The base and quality each read shows at each variant position."""
+    sites = spark.read.parquet(f"{sf}/part.parquet").select((F.col("p_size") % 3).cast("string").alias("chrom"), (F.col("p_partkey") * 3).cast("int").alias("pos"))
+    return reads.bases_at_variants(A.aligned(spark, sf), sites, A.READ_KEY).select(*A.READ_KEY, "site", "base", F.col("qual").cast("int").alias("qual"))
+
+
+@query(f"""WITH {A.BLOCKS}, {A.GENES}, spans AS (SELECT o, l, p, s, CASE status WHEN 'O' THEN '+' ELSE '-' END AS strand, pos, pos + sum(r) AS e, sum(len) AS n FROM blocks GROUP BY o, l, p, s, status, pos),
+hits AS (SELECT x.o, x.l, x.p, x.s, x.n, g.gene_ix FROM spans x JOIN genes g ON x.s % 3 = g.chrom AND g.a <= pos AND e <= g.b AND (g.strand = '.' OR g.strand = x.strand)),
+introns AS (SELECT gene_ix, iso, lag(b) OVER w AS a, a AS b FROM exons WINDOW w AS (PARTITION BY gene_ix, iso ORDER BY a)),
+extent AS (SELECT gene_ix, iso, min(a) AS a, max(b) AS b FROM exons GROUP BY ALL),
+inside AS (SELECT h.o, h.l, h.p, h.s, h.gene_ix, x.iso, sum(greatest(0, least(k.ref + k.r, x.b) - greatest(k.ref, x.a))) = any_value(h.n) AS whole FROM hits h
+ JOIN blocks k ON h.o = k.o AND h.l = k.l AND h.p = k.p AND h.s = k.s JOIN extent x ON x.gene_ix = h.gene_ix GROUP BY ALL),
+crossed AS (SELECT h.o, h.l, h.p, h.s, h.gene_ix, i.iso, bool_or(k.op = 'N' AND k.ref = i.a AND k.ref + k.len = i.b) AS junction, bool_or(least(k.ref + k.r, i.b) > greatest(k.ref, i.a)) AS intronic FROM hits h
+ JOIN blocks k ON h.o = k.o AND h.l = k.l AND h.p = k.p AND h.s = k.s JOIN introns i ON i.gene_ix = h.gene_ix AND i.a IS NOT NULL GROUP BY ALL),
+each AS (SELECT n.*, coalesce(junction, false) AS junction, coalesce(intronic, false) AS intronic FROM inside n LEFT JOIN crossed USING (o, l, p, s, gene_ix, iso))
+SELECT o, l, p, s, gene_ix, CAST(CASE WHEN bool_or(whole AND junction) THEN 0 WHEN bool_or(whole) AND bool_and(intronic OR NOT whole) THEN 1 ELSE 2 END AS INTEGER) AS splice
+FROM each GROUP BY o, l, p, s, gene_ix""")
+def splice_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Genes that contain each read on a fitting strand, with the read's splice class."""
+    placed = reads.with_end(A.aligned(spark, sf)).withColumnRenamed("pos", "start").select(*A.READ_KEY, "chrom", "start", "end", "strand", "cigar")
+    hits = intervals.overlap_join(placed, A.genes(spark, sf), width=4096, levels=3, stranded=True, min_fraction=1.0)
+    hits = hits.select(*A.READ_KEY, "cigar", F.col("start").alias("pos"), F.col("r_gene_ix").alias("gene_ix"), F.col("r_isoforms").alias("isoforms"))
+    return splice.with_genes(hits, A.READ_KEY).select(*A.READ_KEY, F.explode("genes").alias("g")).select(*A.READ_KEY, "g.gene_ix", "g.splice")
+
+
+def _bases_text() -> Column:
+    return F.array_join(F.transform("bases", lambda b: F.concat_ws(":", b["site"].cast("string"), b["base"], b["qual"].cast("string"))), ",")
+
+
+@query("""WITH r AS (SELECT l_suppkey AS barcode, l_orderkey % 200 AS umi, l_partkey % 3 AS chrom, l_partkey % 5 AS pos, l_partkey % 5 AS gene, CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END AS splice,
+ CASE WHEN l_linenumber = 4 THEN NULL WHEN l_returnflag = 'R' THEN 'A' ELSE 'G' END AS letter, CASE WHEN (l_linenumber + 1) % 2 = 0 THEN NULL ELSE CAST(l_quantity AS INTEGER) + 1 END AS q1, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE CAST(l_quantity AS INTEGER) + 2 END AS q2 FROM lineitem),
+c AS (SELECT barcode, umi, chrom, pos, gene, splice, letter, count(*) AS n, coalesce(max(q1), 255) AS q1, coalesce(max(q2), 255) AS q2 FROM r GROUP BY ALL),
+k AS (SELECT *, rank() OVER (PARTITION BY barcode, umi ORDER BY n DESC) AS place FROM c), one AS (SELECT barcode, umi FROM k WHERE place = 1 GROUP BY ALL HAVING count(*) = 1)
+SELECT k.barcode, k.umi, CAST(chrom AS VARCHAR) AS chrom, CAST(pos AS INTEGER) AS pos, gene, CAST(splice AS INTEGER) AS splice, n, CASE WHEN letter IS NULL THEN '' ELSE (pos + 1) || ':' || letter || ':' || q1 || ',' || (pos + 2) || ':' || letter || ':' || q2 END AS bases
+FROM k JOIN one USING (barcode, umi) WHERE place = 1""")
+def rna_molecules(spark: SparkSession, sf: str) -> DataFrame:
+    """The most-supported reading of each barcode and UMI over all it shows, with merged qualities."""
+    got = dedup.rna_molecules(A.molecules(spark, sf))
+    return got.select("barcode", "umi", "chrom", "pos", F.col("genes")[0]["gene_ix"].alias("gene"), F.col("genes")[0]["splice"].alias("splice"), "n", _bases_text().alias("bases"))
+
+
+@query("""WITH r AS (SELECT l_suppkey AS barcode, l_partkey % 3 AS chrom, l_partkey % 50 AS start1, l_partkey % 50 + 20 + l_linenumber % 2 AS end2, CASE l_returnflag WHEN 'R' THEN 'A' ELSE 'G' END AS own,
+ CASE l_linestatus WHEN 'O' THEN 'A' ELSE 'T' END AS other, CAST(l_quantity AS INTEGER) AS q1, CASE WHEN l_tax = 0 THEN NULL ELSE CAST(l_quantity AS INTEGER) END AS q2 FROM lineitem),
+c AS (SELECT barcode, chrom, start1, end2, own, other, count(*) AS n, max(q1) AS q1, coalesce(max(q2), 255) AS q2 FROM r GROUP BY ALL),
+k AS (SELECT *, rank() OVER (PARTITION BY barcode, chrom, start1, end2 ORDER BY n DESC) AS place FROM c), one AS (SELECT barcode, chrom, start1, end2 FROM k WHERE place = 1 GROUP BY ALL HAVING count(*) = 1)
+SELECT k.barcode, CAST(k.chrom AS VARCHAR) AS chrom, CAST(k.start1 AS INTEGER) AS start1, CAST(k.end2 AS INTEGER) AS end2, n, (start1 + 6) || ':' || own || ':' || q1 || ',' || (start1 + 12) || ':' || other || ':' || q2 AS bases
+FROM k JOIN one USING (barcode, chrom, start1, end2) WHERE place = 1""")
+def atac_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """The most-supported reading of each barcode and fragment; at a shared site the first mate's base counts."""
+    return dedup.atac_fragments(A.mates(spark, sf)).select("barcode", "chrom", "start1", "end2", "n", _bases_text().alias("bases"))
+
+
+@query("""WITH g AS (SELECT l_partkey AS vix, l_suppkey AS sample, min(l_discount) AS a, min(l_tax) AS b FROM lineitem GROUP BY ALL)
+SELECT vix, sample, round(CASE WHEN b = 0 THEN NULL ELSE ((1 - a) / 2 + 2 * ((1 - a) / 2)) / 2 END, 6) AS dosage FROM g""")
+def probability_dosage(spark: SparkSession, sf: str) -> DataFrame:
+    """Dosage of genotype probabilities (one missing: none)."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_partkey").alias("vix"), F.col("l_suppkey").alias("sample")).agg(F.min("l_discount").alias("a"), F.min("l_tax").alias("b"))
+    half = (1 - F.col("a")) / 2
+    gp = F.array(F.when(F.col("b") > 0, F.col("a")), half, half)
+    return rows.select("vix", "sample", F.round(F.when(F.forall(gp, lambda x: x.isNotNull()), C.dosage_from_probabilities(gp)), 6).alias("dosage"))
+
+
+@query("""SELECT DISTINCT l_quantity AS q, l_discount AS d, format('{:.6g}', l_quantity / 7) AS mid, format('{:.8g}', l_quantity * 1234567.8 / 3) AS large, CASE WHEN l_discount = 0 THEN 'NA' ELSE format('{:.4g}', l_discount / (3e5 * l_quantity)) END AS small FROM lineitem""")
+def number_format(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers with 4 to 8 significant digits, as the text outputs have them."""
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_quantity", "l_discount").distinct()
+    small = F.when(d != 0, d / (q * 3e5))
+    return rows.select(q.alias("q"), d.alias("d"), C.format_significant(q / 7, 6).alias("mid"), C.format_significant(q * 1234567.8 / 3, 8).alias("large"), C.format_significant(small, 4).alias("small"))
+
+
 # Intervals
 
 
@@ -112,6 +204,13 @@ def interval_anti_join(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.overlap_filter(A.intervals(spark, sf), A.peaks(spark, sf), keep=False, longest=300).select("id", "chrom")
 
 
+@query(f"""WITH {A.INTERVALS}, wide AS (SELECT id, chrom, s, e + CASE WHEN event_type = 'error' THEN 3000000 ELSE 0 END AS e FROM intervals)
+SELECT id, chrom FROM wide i WHERE NOT EXISTS (SELECT 1 FROM peaks p WHERE i.chrom = p.chrom AND i.s < p.e AND p.s < i.e)""")
+def long_interval_anti_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals of very different lengths that overlap no peak."""
+    return intervals.overlap_filter(A.bounded_intervals(spark, sf), A.peaks(spark, sf), keep=False, longest=512).select("id", "chrom")
+
+
 @query(f"""WITH {A.INTERVALS}, cuts AS (SELECT id, chrom, 0 AS cut_no, s + 4 AS cut FROM intervals UNION ALL SELECT id, chrom, 1, e - 6 FROM intervals)
 SELECT c.id, c.cut_no, p.id AS peak FROM cuts c JOIN peaks p ON c.chrom = p.chrom AND c.cut >= p.s AND c.cut < p.e - 1""")
 def cut_site_point_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +222,7 @@ WINDOW w AS (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING A
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM a)
 SELECT chrom, min(s) AS "start", max(e) AS "end", count(*) AS n FROM b GROUP BY chrom, island""")
 def merge_touching_intervals(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.merge_touching(A.peaks(spark, sf), ["chrom"])
+    return intervals.merge_touching(A.peaks(spark, sf), ["chrom"], width=1 << 20)
 
 
 @query(f"""WITH {A.INTERVALS}, a AS (SELECT *, CAST(floor(value) AS BIGINT) % 2 AS contig, row_number() OVER (PARTITION BY user_id ORDER BY s, id) - 1 AS k FROM intervals)
